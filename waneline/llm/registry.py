@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from waneline.llm import langid, packing, secrets, toxicity, warc
+from waneline.llm import fingerprints, langid, licenses, packing, secrets, toxicity, warc
 
-_MODULES = (secrets, packing, warc, langid, toxicity)
+_MODULES = (secrets, licenses, packing, warc, langid, fingerprints, toxicity)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
