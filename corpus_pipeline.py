@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waneline.llm import secrets, toxicity
+from waneline.llm import decontaminate, jaccard, packing, secrets, toxicity
 from waneline.llm.text import table, written
 
 
@@ -17,14 +17,32 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, toxicity.learned(spark, sf_dir))
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 2: of documents linked by shared 5-word shingles (0.8 or more) one stays, that with the least id."""
+    return jaccard.keep_one(docs, jaccard.Rule(5, 80))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 3: documents that hold a benchmark item go."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage 4: every secret in a text is replaced by a mark; no document goes."""
     return secrets.redact(docs, secrets.train())
 
 
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 5: what is left, in sequences of at most 4096 tokens."""
+    return packing.pack(docs, packing.vocabulary_path())
+
+
 STAGES = [
     ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_leaks),
     ("secret scans", hide_secrets),
+    ("best-fit packing", pack),
 ]
 
 #: The stages rest on trained models and tokenizers, which SQL cannot express.

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from waneline.llm import decontaminate, fingerprints, langid, licenses, packing, repeats, secrets, toxicity, warc
+from waneline.llm import decontaminate, fingerprints, jaccard, langid, licenses, packing, repeats, secrets, toxicity, warc
 
-_MODULES = (secrets, repeats, licenses, packing, decontaminate, warc, langid, fingerprints, toxicity)
+_MODULES = (secrets, repeats, licenses, packing, decontaminate, warc, langid, fingerprints, jaccard, toxicity)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
