@@ -188,7 +188,8 @@ class Finder:
             runs = _runs(w.hash, k)
             held = np.concatenate([[0.0], np.cumsum(b.weigh(runs))])
             last = np.minimum(w.first[1:] - k + 1, len(runs))  # one past the last run of each document
-            total = held[np.maximum(last, w.first[:-1])] - held[np.minimum(w.first[:-1], len(runs))]
+            begin = np.minimum(w.first[:-1], len(runs))
+            total = held[np.maximum(last, begin)] - held[begin]
             lowest = min(g.least for g in groups)
             for doc in np.flatnonzero(total >= lowest - 1e-9):
                 a, z = int(w.first[doc]), int(last[doc])
