@@ -70,8 +70,8 @@ class ToxicityModel:
 NO_MODEL = ToxicityModel(np.full(1 << BITS, -1, np.int32), np.zeros(1), np.zeros((1, 1)), -40.0)
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, most: int = 4096, rank: int = 6, epochs: int = 12, seed: int = 3, bits: int = BITS) -> ToxicityModel:
-    """Learn from distinct term buckets of each text. The ``most`` terms that tell classes best apart are learned."""
+def fit(rows: list[np.ndarray], y: np.ndarray, most: int = 4096, rank: int = 6, epochs: int = 25, seed: int = 3, bits: int = BITS, seen: int = 5, clear: float = 3.0) -> ToxicityModel:
+    """Learn from distinct term buckets of each text. The ``most`` terms that tell classes best apart are learned: in ``seen`` texts or more, apart by more than ``clear`` standard errors."""
     y = np.asarray(y, float)
     if not len(y) or not y.any():
         return NO_MODEL
@@ -80,9 +80,9 @@ def fit(rows: list[np.ndarray], y: np.ndarray, most: int = 4096, rank: int = 6,
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     pos, all_ = np.bincount(flat, y[owner], size), np.bincount(flat, minlength=size)
     p, q = (pos + 0.5) / (y.sum() + 1), (all_ - pos + 0.5) / (len(y) - y.sum() + 1)
-    z = np.where(all_ >= 5, (p - q) / np.sqrt(p * (1 - np.minimum(p, 0.999)) / (y.sum() + 1) + q * (1 - np.minimum(q, 0.999)) / (len(y) - y.sum() + 1)), 0)
+    z = np.where(all_ >= seen, (p - q) / np.sqrt(p * (1 - np.minimum(p, 0.999)) / (y.sum() + 1) + q * (1 - np.minimum(q, 0.999)) / (len(y) - y.sum() + 1)), 0)
     chosen = np.argsort(-np.abs(z), kind="stable")[:most]
-    chosen = np.sort(chosen[np.abs(z[chosen]) > 3])
+    chosen = np.sort(chosen[np.abs(z[chosen]) > clear])
     place = np.full(size, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     at, kept = place[flat], place[flat] >= 0
