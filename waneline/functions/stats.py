@@ -71,7 +71,7 @@ def kolmogorov_sf(x: Column) -> Column:
     return F.when(x < 0.04, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), s)))
 
 
-def sup_wald_quantiles(trim: float, reps: int = 40_000, steps: int = 2_500, seed: int = 20_240_607) -> list[float]:
+def sup_wald_quantiles(trim: float, reps: int = 20_000, steps: int = 2_000, seed: int = 20_240_607) -> list[float]:
     """Quantiles of the sup-Wald null distribution, simulated here: the largest B(p)^2 / (p (1 - p)) of a Brownian bridge."""
     import numpy as np
 

@@ -21,7 +21,7 @@ def brand_month(spark: SparkSession, sf: str) -> DataFrame:
     """date, asset_id, rev: revenue of each brand and month."""
     parts = _table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("asset_id"))
     sales = _sales(spark, sf).select("l_partkey", F.last_day("l_shipdate").alias("date"), "rev")
-    return sales.join(parts, "l_partkey").groupBy("date", "asset_id").agg(F.sum("rev").alias("rev"))
+    return sales.join(parts, "l_partkey").groupBy("date", "asset_id").agg(F.sum("rev").alias("rev")).cache()  # small, and used by several parts of a plan
 
 
 def growth(panel: DataFrame, value: str = "rev") -> DataFrame:
@@ -47,7 +47,7 @@ def brand_week(spark: SparkSession, sf: str) -> DataFrame:
     parts = _table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("asset_id"))
     week = F.date_add(F.date_trunc("week", F.col("l_shipdate").cast("date")).cast("date"), 4)
     sales = _sales(spark, sf).select("l_partkey", week.alias("date"), "rev").join(parts, "l_partkey")
-    return growth(sales.groupBy("date", "asset_id").agg(F.sum("rev").alias("rev")))
+    return growth(sales.groupBy("date", "asset_id").agg(F.sum("rev").alias("rev")).cache())
 
 
 def legs(spark: SparkSession, sf: str) -> DataFrame:
