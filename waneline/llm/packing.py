@@ -15,13 +15,13 @@ from __future__ import annotations
 
 import math
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +31,10 @@ SEQUENCE = 4096
 END_ID = 1
 GROUP_ROWS = 4096
 _CACHE_ROWS = 300_000
-#: Python's split() takes these for white space, the tokenizer may not: such texts are split at spaces and line ends only.
-_ODD = re.compile("[\x1c-\x1f\x85]")
+#: Characters that Python's split() takes for white space and the tokenizer may not.
+_ODD = "[\\x{1c}-\\x{1f}\\x{85}]"
+#: A full stop or comma next to another mark, with which it may form one token.
+_TIGHT = r"[^\pL\pN\s][.,]|[.,][^\pL\pN\s]"
 
 
 class Tokens:
@@ -43,6 +45,9 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.final = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.final[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -50,52 +55,63 @@ class Tokens:
         self.flat = np.empty(1 << 16, np.uint32)
         self.begin = np.zeros(1 << 16, np.int64)
         self.size = np.zeros(1 << 16, np.int64)
-        self.used = 0
+        self.used = self.kept = 0
 
-    def _keep(self, word: str, ids: np.ndarray) -> None:
-        i, n = len(self.place), len(ids)
-        if i == len(self.begin):
-            self.begin, self.size = np.resize(self.begin, 2 * i), np.resize(self.size, 2 * i)
-        while self.used + n > len(self.flat):
+    def _keep(self, words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        i, n = self.kept, len(words)
+        while i + n > len(self.begin):
+            self.begin, self.size = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.size, 2 * len(self.size))
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used : self.used + n] = ids
-        self.begin[i], self.size[i] = self.used, n
-        self.used += n
-        self.place[word] = i
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.begin[i : i + n] = self.used + np.cumsum(size) - size
+        self.size[i : i + n] = size
+        self.place.update(zip(words, range(i, i + n), strict=True))
+        self.used += len(ids)
+        self.kept += n
 
     def _learn(self, words: set[str]) -> None:
-        """A plain Latin word and a full stop or comma after it are told apart first: fewer different words."""
-        plan: dict[str, tuple[str, str]] = {}
-        fresh: set[str] = set()
-        for w in words:
-            body, tail = (w[:-1], w[-1]) if w[-1] in ".," and len(w) > 1 else (w, "")
-            if body.isalpha() and max(body) < "İ":
-                plan[w] = (body.lower(), tail)
-                fresh.update(x for x in plan[w] if x and x not in self.place)
+        """Words of letters alone are one token run each: they are encoded together, in lower case, and told apart by their last ids."""
+        lower = {w: w.lower() for w in words if w.isalpha() and "\u0130" not in w and "\u03a3" not in w}
+        plain = sorted({x for x in lower.values() if x not in self.place})
+        rest = sorted(words - lower.keys())
+        if plain:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, np.uint32)
+            end = np.flatnonzero(self.final[ids]) + 1
+            if len(end) == len(plain) and end[-1] == len(ids):
+                self._keep(plain, ids, np.diff(end, prepend=0))
             else:
-                fresh.add(w)
-        fresh = sorted(fresh)
-        for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self._keep(w, np.array(e.ids, np.uint32))
-        for w, parts in plan.items():
-            if w not in self.place:
-                at = [self.place[p] for p in parts if p]
-                self._keep(w, np.concatenate([self.flat[self.begin[i] : self.begin[i] + self.size[i]] for i in at]))
-
-    def __call__(self, text: str) -> np.ndarray:
-        words = text.split() if not _ODD.search(text) else [w for line in text.split("\n") for w in line.split(" ") if w]
-        if not words:
-            return np.empty(0, np.uint32)
+                rest = sorted({*rest, *plain})
+        if rest:
+            each = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+            self._keep(rest, np.array([i for e in each for i in e], np.uint32), np.array([len(e) for e in each]))
+        for w, x in lower.items():
+            self.place[w] = self.place[x]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of every text."""
+        texts = texts.fill_null("")
+        odd = pc.match_substring_regex(texts, _ODD).to_pylist()
+        tight = pc.match_substring_regex(texts, _TIGHT).to_pylist()
+        words: list[str] = []
+        cut = [0]
+        for t, o, g in zip(texts.to_pylist(), odd, tight, strict=True):
+            if o:
+                words += [w for part in t.split("\n") for w in part.split(" ") if w]
+            else:
+                words += (t if g else t.replace(".", " . ").replace(",", " , ")).split()
+            cut.append(len(words))
         if len(self.place) > _CACHE_ROWS:
             self.clear()
         at = list(map(self.place.get, words))
         if None in at:
             self._learn({w for w, i in zip(words, at, strict=True) if i is None})
             at = list(map(self.place.__getitem__, words))
-        at = np.array(at)
-        n = self.size[at]
-        stop = np.cumsum(n)
-        return self.flat[np.repeat(self.begin[at] - (stop - n), n) + np.arange(stop[-1])]
+        place = np.array(at, np.int64)
+        n = self.size[place]
+        stop = np.concatenate([[0], np.cumsum(n)])
+        ids = self.flat[np.repeat(self.begin[place] - stop[:-1], n) + np.arange(stop[-1])]
+        return [ids[i:j] for i, j in zip(stop[cut[:-1]], stop[cut[1:]], strict=True)]
 
 
 _loaded: dict[str, Tokens] = {}
@@ -149,12 +165,12 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = SEQUENCE) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("salt", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, salt = tokens(vocabulary), 0
+        encode, salt = tokens(vocabulary).encode, 0
         for whole in batches:
             for b in T.slices(whole):
                 rows: list[tuple] = []
-                for doc, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                    ids = np.append(encode(t or ""), np.uint32(END_ID)).astype("<u4")
+                for doc, own in zip(b.column("doc_id").to_pylist(), encode(b.column("text")), strict=True):
+                    ids = np.append(own, np.uint32(END_ID)).astype("<u4")
                     for k in range(math.ceil(len(ids) / size)):
                         part = ids[k * size : (k + 1) * size]
                         rows.append((doc, k, k * size, len(part), zlib.crc32(part.tobytes()), salt))
