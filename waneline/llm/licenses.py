@@ -5,7 +5,8 @@ A unit is normalised (lower case; runs of anything but letters and digits become
 and its bigrams are counted with repetition, so their number is the number of words less one
 and bounds the coefficient: Dice >= t needs a size within [t / (2 - t), (2 - t) / t] of the
 template's. Units outside every template's bounds are dropped before a bigram is built, and
-units without any template bigram before any coefficient is.
+units without any template bigram before any coefficient is. Before all that, texts are left
+out that have none of the words of which every match needs one (see ``cover``).
 
 Defined cases: null and empty texts, and units of fewer than two words, match nothing. Lines
 count from 0; the whole text is line -1. Of equal coefficients the template first by name is
@@ -51,6 +52,9 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 THRESHOLD = 0.8
+#: Screening words are as long as a template allows, by these steps: short ones are in most texts.
+_LENGTHS = (7, 5, 1)
+_COMMON = {"a", "an", "and", "any", "be", "by", "can", "for", "from", "in", "is", "it", "may", "of", "on", "or", "that", "the", "this", "to", "with", "you"}
 
 
 def normalised(text: str) -> list[str]:
@@ -69,6 +73,24 @@ def bounds(n: int, threshold: float) -> tuple[int, int]:
     return lo, hi
 
 
+def cover(templates: dict[str, str], threshold: float) -> list[str]:
+    """Words of which any unit that matches a template has one.
+
+    A match shares threshold / (2 - threshold) of the template's bigrams at least, so words
+    that touch all but fewer of them cannot all be absent. Chosen greedily, long words first.
+    """
+    chosen: set[str] = set()
+    for name in sorted(templates):
+        grams = [tuple(g.split(" ")) for g in bigrams(normalised(templates[name]))]
+        least = threshold * len(grams) / (2 - threshold)
+        while sum(not chosen & {*g} for g in grams) >= least - 1e-9:
+            left = [g for g in grams if not chosen & {*g}]
+            words = sorted({w for g in left for w in g})
+            long = next(x for x in (*([w for w in words if len(w) >= k and w not in _COMMON] for k in _LENGTHS), words) if x)
+            chosen.add(max(long, key=lambda w: sum(w in g for g in left) * len(w)))
+    return sorted(chosen)
+
+
 def _templates(templates: dict[str, str], threshold: float) -> Column:
     """The templates as one array literal, by name, each with its bounds and bigram counts."""
     out = []
@@ -93,10 +115,13 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     n_words = lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "))) + 1
     fits = lambda s: (F.length(s) > 2) & n_words(s).between(lo + 1, hi + 1)
 
+    words_of_all = F.lower("text").rlike(r"(?<![\p{L}\p{N}])(?:" + "|".join(cover(templates, threshold)) + r")(?![\p{L}\p{N}])")
     plain = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}\n]+", " ")
     lines = F.transform(F.split("_plain", "\n"), lambda s, i: F.struct(i.alias("line"), F.trim(s).alias("unit")))
-    whole = F.array(F.struct(F.lit(-1).alias("line"), F.trim(F.regexp_replace("_plain", r"[ \n]+", " ")).alias("unit")))
-    units = docs.select("doc_id", plain.alias("_plain")).select("doc_id", F.explode(F.filter(F.concat(whole, lines), lambda u: fits(u["unit"]))).alias("u"))
+    total = F.aggregate("_lines", F.lit(0), lambda acc, u: acc + F.when(u["unit"] == "", 0).otherwise(n_words(u["unit"])))
+    whole = F.array(F.struct(F.lit(-1).alias("line"), F.when(total <= hi + 1, F.array_join(F.transform(F.filter("_lines", lambda u: u["unit"] != ""), lambda u: u["unit"]), " ")).otherwise("").alias("unit")))
+    units = docs.filter(words_of_all).select("doc_id", plain.alias("_plain")).select("doc_id", lines.alias("_lines"))
+    units = units.select("doc_id", F.explode(F.filter(F.concat(whole, "_lines"), lambda u: fits(u["unit"]))).alias("u"))
 
     words = F.split("unit", " ")
     n = F.size("words")
