@@ -11,8 +11,9 @@ whole numbers. The result is complete: no linked pair of different texts is left
    common key cannot link. How many groups follows from the size class of a set; sets near
    the next class are keyed for it too. Keys are counted in Spark as packed arrays, of which a
    task sends one for each key and class.
-3. Classes that share keys form blocks (connected components, found in Spark). In a block the
-   count vectors are the points of a packed R-tree. Two nodes are compared by the sum over
+3. Pairs of classes that share a key are bounded by their count vectors, as below; those that
+   can link form blocks (connected components, found in Spark). A key of very many classes
+   joins them all instead. In a block the count vectors are the points of a packed R-tree. Two nodes are compared by the sum over
    coordinates of the lesser of their upper bounds: it bounds the overlap of any pair below
    them, and pairs of nodes that cannot reach the needed overlap are cut off. Surviving pairs
    of points are verified on their sets, unless they are connected already: components need
@@ -45,7 +46,10 @@ LEAF = 16
 #: Sets of a block that one task takes; larger blocks are dealt into chunks of about so many.
 BLOCK_ROWS = 8192
 FLUSH = 1 << 20
-_CLASS_RATIO = 1.5
+#: Keys with so many classes or fewer give all their pairs, to be bounded one by one; larger ones a star that is not.
+PAIRS_OF = 16
+#: Coordinates of the vectors that bound single pairs.
+PAIR_DIMS = 128
 
 
 @dataclass(frozen=True)
@@ -59,16 +63,16 @@ class Rule:
         """Least intersection of linked sets of a and b shingles."""
         return -(-(self.percent * (a + b)) // (100 + self.percent))
 
-    def differ(self, a: int, b: int) -> int:
-        """Most shingles that only one of two linked sets of those sizes has."""
-        return a + b - 2 * int(self.overlap(a, b))
+    def differ(self, most: int) -> int:
+        """Most shingles that only one of two linked sets of up to ``most`` shingles has."""
+        return (100 - self.percent) * 2 * most // (100 + self.percent)
 
     def classes(self, most: int) -> list[tuple[int, int, int]]:
         """Size classes (from, to, groups): linked sets that meet in a class have a common non-empty group unless a set has more empty groups than the spare ones."""
         out, lo = [], 1
         while lo <= most:
-            hi = max(lo + 1, math.ceil(lo * _CLASS_RATIO))
-            most_differ = self.differ(hi - 1, hi - 1)
+            hi = max(lo + 1, math.ceil(lo * 102 / self.percent))  # linked sets are in one class or neighbours
+            most_differ = self.differ(hi - 1)
             groups = most_differ + 1
             out.append((lo, hi, groups + 2 + groups // 64 if most_differ else 1))
             lo = hi
@@ -115,7 +119,7 @@ def keys(s: np.ndarray, rule: Rule, table: list[tuple[int, int, int]]) -> np.nda
         seed = np.uint64((i + 1) * 0x9E3779B97F4A7C15 & ((1 << 64) - 1))
         out.append(T.mix(np.add.reduceat(T.mix(s ^ seed), begin) + group[begin]))
         empty = groups - len(begin)
-        if empty > groups - 1 - rule.differ(table[i][1] - 1, table[i][1] - 1):
+        if empty > groups - 1 - rule.differ(table[i][1] - 1):
             none = np.ones(groups, bool)
             none[group[begin].astype(np.int64)] = False
             out.append(T.mix(np.flatnonzero(none).astype(np.uint64) ^ T.mix(np.array([seed]))))
@@ -126,21 +130,50 @@ def keys(s: np.ndarray, rule: Rule, table: list[tuple[int, int, int]]) -> np.nda
 
 
 def classed(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n_shingles and class digest (s1, s2) of every document; null digests for empty sets."""
+    """doc_id, n_shingles, class digest (s1, s2) and count vector of every document; null digests for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in T.slices(whole):
                 sets = shingle_sets(b.column("text"), rule.n)
                 d = [_digest(s) if len(s) else (None, None) for s in sets]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64())], ["doc_id", "n_shingles", "s1", "s2"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64()), pa.array([_packed_vector(s) for s in sets], pa.binary())], ["doc_id", "n_shingles", "s1", "s2", "vector"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, vector binary")
+
+
+def _packed_vector(s: np.ndarray) -> bytes:
+    """Counts in PAIR_DIMS groups, a byte each where they fit, else four."""
+    c = count_vector(s, PAIR_DIMS)
+    return (c.astype(np.uint8) if c.max(initial=0) < 256 else c.astype("<u4")).tobytes()
+
+
+def _vectors(blobs: pd.Series) -> np.ndarray:
+    size = np.array([len(b) for b in blobs])
+    out = np.empty((len(blobs), PAIR_DIMS), np.int64)
+    for width, kind in ((PAIR_DIMS, np.uint8), (4 * PAIR_DIMS, "<u4")):
+        at = np.flatnonzero(size == width)
+        if len(at):
+            out[at] = np.frombuffer(b"".join(blobs.iloc[i] for i in at), kind).reshape(-1, PAIR_DIMS)
+    return out
+
+
+def can_link(edges: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """The edges (u, v, star) without the pairs whose summed coordinate minima stay below the needed overlap."""
+
+    @F.pandas_udf("boolean")
+    def bounded(a: pd.Series, b: pd.Series) -> pd.Series:
+        x, y = _vectors(a), _vectors(b)
+        return pd.Series(np.minimum(x, y).sum(1) >= rule.overlap(x.sum(1), y.sum(1)))
+
+    side = lambda name: classes.select(F.col("s1").alias(name), F.col("vector").alias(f"v{name}"))
+    pairs = edges.filter("not star").join(side("u"), "u").join(side("v"), "v").filter(bounded("vu", "vv"))
+    return edges.filter("star").select("u", "v").unionByName(pairs.select("u", "v"))
 
 
 def key_links(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Edges (u, v) between first digests of classes that share a key: a star for each key."""
-    n = T.width(docs.sparkSession, 8)
+    """Edges (u, v, star) between first digests of classes that share a key: all pairs of a small key, else a star."""
+    n = T.width(docs.sparkSession, 2)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_k: list[np.ndarray] = []
@@ -186,13 +219,24 @@ def key_links(docs: DataFrame, rule: Rule) -> DataFrame:
         s = np.frombuffer(b"".join(x.as_py() for x in t.column("s")), np.int64)
         order = np.lexsort((s, k))
         k, s = k[order], s[order]
+        fresh = np.append(True, (k[1:] != k[:-1]) | (s[1:] != s[:-1]))
+        k, s = k[fresh], s[fresh]
         begin = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-        least = np.repeat(s[begin], np.diff(np.append(begin, len(k))))
-        edge = np.unique(np.stack([least, s], axis=1)[least != s], axis=0)
-        return pa.table({"u": pa.array(edge[:, 0], pa.int64()), "v": pa.array(edge[:, 1], pa.int64())})
+        count = np.diff(np.append(begin, len(k)))
+        edges = [np.empty((0, 3), np.int64)]
+        for size in range(2, PAIRS_OF + 1):
+            i, j = np.triu_indices(size, 1)
+            at = begin[count == size][:, None]
+            edges.append(np.stack([s[at + i].ravel(), s[at + j].ravel(), np.zeros(len(at) * len(i), np.int64)], axis=1))
+        large = np.repeat(count > PAIRS_OF, count)
+        least = np.repeat(s[begin], count)
+        star = large & (s != least)
+        edges.append(np.stack([least[star], s[star], np.ones(int(star.sum()), np.int64)], axis=1))
+        edge = np.unique(np.concatenate(edges), axis=0)
+        return pa.table({"u": pa.array(edge[:, 0], pa.int64()), "v": pa.array(edge[:, 1], pa.int64()), "star": pa.array(edge[:, 2] == 1)})
 
     packed = docs.select("text").mapInArrow(gather, "b int, k binary, s binary")
-    return packed.groupBy("b").applyInArrow(meet, "u long, v long").distinct()
+    return packed.groupBy("b").applyInArrow(meet, "u long, v long, star boolean").groupBy("u", "v").agg(F.max("star").alias("star"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -368,8 +412,9 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
     """doc_id, n_shingles and component_id of every document (the least doc_id that links lead to)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     members = T.written(classed(docs, rule))
-    classes = members.filter("s1 is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"))
-    blocks = components(key_links(docs, rule))
+    classes = members.filter("s1 is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.min("vector").alias("vector"))
+    blocks = components(can_link(T.written(key_links(docs, rule)), classes, rule))
+    classes = classes.drop("vector")
     wanted = T.written(classes.join(blocks.withColumnRenamed("node", "s1"), "s1").select("s1", "least", "root"))
 
     # chunks of large blocks; each pair of chunks is a task
@@ -390,7 +435,7 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
 def keep_one(docs: DataFrame, rule: Rule = Rule(5, 80)) -> DataFrame:  # noqa: B008
     """The rows, with all their columns, that have the least doc_id of their component; of equal ids every row, and rows without an id, stay."""
     gone = join(docs, rule).filter("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
