@@ -115,7 +115,7 @@ def _answers(hash_: np.ndarray, check: np.ndarray, doc: np.ndarray, place: np.nd
     yield from _pack(1, _doc_bucket(doc, n), hash_, check, doc, place)
 
 
-def _local_anchors(h: np.ndarray, d: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
+def _local_anchors(h: np.ndarray, d: np.ndarray, n: int, parts: int) -> Iterator[pa.RecordBatch]:
     """Of each hash one entry for the corpus; documents that already share it here are answered at once.
 
     Entries are (hash, document), once for every place, so a hash twice in a document counts as repeated.
@@ -132,14 +132,15 @@ def _local_anchors(h: np.ndarray, d: np.ndarray, n: int) -> Iterator[pa.RecordBa
     yield from _answers(h[told], _nothing(len(told), np.uint32), d[told], _nothing(len(told), np.int32), n)
     carrier = np.where(count > 1, _SEVERAL, d[begin])
     k = len(begin)
-    yield from _pack(0, _hash_bucket(h[begin], n), h[begin], _nothing(k, np.uint32), carrier, _nothing(k, np.int32))
+    yield from _pack(0, _hash_bucket(h[begin], parts), h[begin], _nothing(k, np.uint32), carrier, _nothing(k, np.int32))
 
 
 def removed(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
     """The documents by bucket (b, doc_id, text), and the packed answers that name the windows to remove, by the same buckets."""
     if size < ANCHOR:
         raise ValueError(f"windows have {ANCHOR} words or more")
-    n = T.width(docs.sparkSession, 8)
+    n_hash = T.width(docs.sparkSession)  # buckets of hashes
+    n = 2 * n_hash  # buckets of documents
 
     def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hs: list[np.ndarray] = []
@@ -153,10 +154,10 @@ def removed(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
                 ds.append(_ids(b.column("doc_id"))[doc[at]])
                 held += len(h)
                 if held > FLUSH:
-                    yield from _local_anchors(np.concatenate(hs), np.concatenate(ds), n)
+                    yield from _local_anchors(np.concatenate(hs), np.concatenate(ds), n, n_hash)
                     hs, ds, held = [], [], 0
         if hs:
-            yield from _local_anchors(np.concatenate(hs), np.concatenate(ds), n)
+            yield from _local_anchors(np.concatenate(hs), np.concatenate(ds), n, n_hash)
 
     def shared_anchors(t: pa.Table) -> pa.Table:
         h, _, d, _ = _unpack(t, 0)
@@ -199,7 +200,7 @@ def removed(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
                 h1, h2, d, p = (np.concatenate(x) for x in zip(*parts, strict=True))
                 later, first = _split(h1, h2, d, p)
                 out += [pa.Table.from_batches([x]) for x in _answers(h1[later], h2[later], d[later], p[later], n)]
-                out += [pa.Table.from_batches([x]) for x in _pack(0, _hash_bucket(h1[first], n), h1[first], h2[first], d[first], p[first])]
+                out += [pa.Table.from_batches([x]) for x in _pack(0, _hash_bucket(h1[first], n_hash), h1[first], h2[first], d[first], p[first])]
         return pa.concat_tables(out)
 
     def _split(h1: np.ndarray, h2: np.ndarray, d: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
