@@ -65,6 +65,7 @@ class Group:
     ids: list[int]
     bags: list[dict[int, int]]
     prints: np.ndarray
+    member: np.ndarray  # which known shingles these items have
     least: float = 0.0
     index: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # per block: sorted values within reach of an item, and the items
 
@@ -84,13 +85,13 @@ class Benchmark:
     threshold: float
     coarse: np.ndarray  # which leading 20 bits any known shingle has
 
-    def weigh(self, h: np.ndarray) -> np.ndarray:
-        """Weight of each shingle; 0 for those of no item."""
-        out = np.zeros(h.shape)
+    def locate(self, h: np.ndarray) -> np.ndarray:
+        """Place of each shingle among the known ones, -1 for those of no item."""
+        out = np.full(h.shape, -1, np.int64)
         maybe = np.flatnonzero(self.coarse[h >> np.uint64(44)])
         at = np.minimum(np.searchsorted(self.known, h[maybe]), len(self.known) - 1)
         hit = self.known[at] == h[maybe]
-        out[maybe[hit]] = self.weight[at[hit]]
+        out[maybe[hit]] = at[hit]
         return out
 
 
@@ -124,9 +125,10 @@ def build(items: list[tuple[int, str | None]], threshold: float = THRESHOLD, rad
         mine = [i for i, s in enumerate(sizes) if s == size]
         k = min(SHINGLE, size)
         rows = np.array([_runs(w.hash[w.first[i] : w.first[i + 1]], k) for i in mine])
-        g = Group(size, k, [items[i][0] for i in mine], [bags[i] for i in mine], simhash(rows, b.weigh(rows.ravel()).reshape(rows.shape)))
+        g = Group(size, k, [items[i][0] for i in mine], [bags[i] for i in mine], simhash(rows, weight[b.locate(rows.ravel())].reshape(rows.shape)), np.zeros(len(known), bool))
         totals = [sum(c * b.weight[np.searchsorted(known, np.uint64(r))] for r, c in bag.items()) for bag in g.bags]
         g.least = threshold * min(totals)
+        g.member[[int(np.searchsorted(known, np.uint64(r))) for bag in g.bags for r in bag]] = True
         for block in range(BLOCKS):
             v = ((g.prints >> np.uint64(16 * block)) & np.uint64(0xFFFF)).astype(np.uint32)
             reach = (v[:, None] ^ near[None, :]).ravel()
@@ -138,78 +140,84 @@ def build(items: list[tuple[int, str | None]], threshold: float = THRESHOLD, rad
 
 
 class Finder:
-    """Matches of documents; remembers windows it has seen, since passages repeat."""
+    """Matches of documents."""
 
     def __init__(self, b: Benchmark):
         self.b = b
-        self.seen: dict[tuple[int, int], list[tuple[int, float, int]]] = {}
 
-    def verify(self, g: Group, shingles: np.ndarray) -> list[tuple[int, float, int]]:
-        """(position in the group, similarity, Hamming distance) of items like a window."""
-        b = self.b
-        weights = b.weigh(shingles)
-        weights[weights == 0] = b.other
-        mark = simhash(shingles[None], weights[None])[0]
-        found: set[int] = set()
+    def candidates(self, g: Group, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, item, distance) of every fingerprint pair within the radius, by the multi-index."""
+        pairs = []
         for block, (values, items) in enumerate(g.index):
-            v = np.uint16((mark >> np.uint64(16 * block)) & np.uint64(0xFFFF))
-            found.update(items[np.searchsorted(values, v, "left") : np.searchsorted(values, v, "right")].tolist())
-        out = []
-        bag: dict[int, list[float]] = {}
-        for r, x in zip(shingles.tolist(), weights.tolist(), strict=True):
-            bag.setdefault(r, [0, x])[0] += 1
-        for i in sorted(found):
-            distance = int(np.bitwise_count(mark ^ g.prints[i]))
-            if distance > b.radius:
+            v = ((marks >> np.uint64(16 * block)) & np.uint64(0xFFFF)).astype(np.uint16)
+            lo, n = np.searchsorted(values, v, "left"), np.searchsorted(values, v, "right")
+            n -= lo
+            owner = np.repeat(np.arange(len(marks)), n)
+            pairs.append(owner * len(g.ids) + items[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+        pair = np.unique(np.concatenate(pairs))
+        window, item = pair // len(g.ids), pair % len(g.ids)
+        distance = np.bitwise_count(marks[window] ^ g.prints[item]).astype(int)
+        near = distance <= self.b.radius
+        return window[near], item[near], distance[near]
+
+    def similarity(self, bag: dict[int, int], weights: dict[int, float], item: dict[int, int]) -> float:
+        """Sum of least weighted counts over sum of greatest."""
+        both = most = 0.0
+        for r, c in bag.items():
+            both += weights[r] * min(c, item.get(r, 0))
+            most += weights[r] * max(c, item.get(r, 0))
+        for r, c in item.items():
+            if r not in bag:
+                most += c * float(self.b.weight[np.searchsorted(self.b.known, np.uint64(r))])
+        return both / most if both >= self.b.threshold * most - 1e-12 else 0.0
+
+    def search(self, runs: np.ndarray, place: np.ndarray, groups: list[Group], k: int) -> dict[int, tuple[float, int, int, int]]:
+        """Best window of each item in one document: (similarity, first word, words, distance)."""
+        b = self.b
+        best: dict[int, tuple[float, int, int, int]] = {}
+        hit = np.flatnonzero(place >= 0)
+        weights = np.full(len(runs), b.other)
+        weights[hit] = b.weight[place[hit]]
+        for g in groups:
+            own = np.zeros(len(runs) + 1)
+            own[hit + 1] = weights[hit] * g.member[place[hit]]
+            own = np.cumsum(own)
+            m = min(g.words - k + 1, len(runs))
+            starts = np.flatnonzero(own[m:] - own[:-m] >= g.least - 1e-9)  # others hold too little of any item
+            if not len(starts):
                 continue
-            item = g.bags[i]
-            both = most = 0.0
-            for r, (c, x) in bag.items():
-                both += x * min(c, item.get(r, 0))
-                most += x * max(c, item.get(r, 0))
-            for r, c in item.items():
-                if r not in bag:
-                    most += c * float(b.weight[np.searchsorted(b.known, np.uint64(r))])
-            if both >= b.threshold * most - 1e-12:
-                out.append((i, both / most, distance))
-        return out
+            lo, hi = starts[0], starts[-1] + m
+            sides = np.unpackbits(np.ascontiguousarray(runs[lo:hi]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") * 2.0 - 1
+            total = np.concatenate([np.zeros((1, 64)), np.cumsum(sides * weights[lo:hi, None], axis=0)])
+            marks = np.packbits(total[starts + m - lo] - total[starts - lo] > 0, axis=1, bitorder="little").view(np.uint64).ravel()
+            for at, i, distance in zip(*self.candidates(g, marks), strict=True):
+                s = int(starts[at])
+                shingles = runs[s : s + m].tolist()
+                bag: dict[int, int] = {}
+                for r in shingles:
+                    bag[r] = bag.get(r, 0) + 1
+                x = self.similarity(bag, dict(zip(shingles, weights[s : s + m].tolist(), strict=True)), g.bags[i])
+                if x and (g.ids[i] not in best or x > best[g.ids[i]][0]):
+                    best[g.ids[i]] = (x, s, m + k - 1, int(distance))
+        return best
 
     def __call__(self, texts: pa.Array) -> list[list[tuple[int, float, int, int, int]]]:
         """For each text its (item_id, similarity, first word, words, distance), best window of each item."""
         b = self.b
         w = _words(texts)
         best: list[dict[int, tuple[float, int, int, int]]] = [{} for _ in range(len(texts))]
-        if len(self.seen) > 200_000:
-            self.seen.clear()
         for k in sorted({g.k for g in b.groups}):
             groups = [g for g in b.groups if g.k == k]
             if len(w.hash) < k:
                 continue
             runs = _runs(w.hash, k)
-            held = np.concatenate([[0.0], np.cumsum(b.weigh(runs))])
-            last = np.minimum(w.first[1:] - k + 1, len(runs))  # one past the last run of each document
+            place = b.locate(runs)
+            held = np.concatenate([[0.0], np.cumsum(np.where(place >= 0, b.weight[place], 0.0))])
             begin = np.minimum(w.first[:-1], len(runs))
-            total = held[np.maximum(last, begin)] - held[begin]
-            lowest = min(g.least for g in groups)
-            for doc in np.flatnonzero(total >= lowest - 1e-9):
-                a, z = int(w.first[doc]), int(last[doc])
-                if z <= a:
-                    continue
-                own = held[a : z + 1]
-                for g in groups:
-                    m = min(g.words - k + 1, z - a)
-                    starts = np.flatnonzero(own[m:] - own[:-m] >= g.least - 1e-9)
-                    if not len(starts):
-                        continue
-                    marks = T.mix(T.windows(runs[a:z], m))
-                    for s in starts.tolist():
-                        key = (g.words, int(marks[s]))
-                        if (hits := self.seen.get(key)) is None:
-                            hits = self.seen[key] = self.verify(g, runs[a + s : a + s + m])
-                        for i, similarity, distance in hits:
-                            old = best[doc].get(g.ids[i])
-                            if old is None or similarity > old[0]:
-                                best[doc][g.ids[i]] = (similarity, s, m + k - 1, distance)
+            last = np.maximum(np.minimum(w.first[1:] - k + 1, len(runs)), begin)  # one past the last run of each document
+            for doc in np.flatnonzero((held[last] - held[begin] >= min(g.least for g in groups) - 1e-9) & (last > begin)):
+                a, z = int(begin[doc]), int(last[doc])
+                best[doc].update(self.search(runs[a:z], place[a:z], groups, k))
         return [[(i, *v) for i, v in sorted(x.items())] for x in best]
 
 
