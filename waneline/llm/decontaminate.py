@@ -2,7 +2,7 @@
 
 Words are lower-cased runs of letters and digits, shingles are five consecutive words (or all
 of a shorter item) with their multiplicity, and a shingle weighs ln(1 + items / items that
-have it). A window of a document has as many words as an item. Its weighted SimHash of 64 bits
+have it), both counted over the whole benchmark. A window of a document has as many words as an item. Its weighted SimHash of 64 bits
 is looked up in a multi-index: the fingerprints of the items of that size are split into four
 blocks of 16 bits, and any within ``radius`` of a window's agrees with it in some block but
 for radius // 4 bits at most, so all of them are found. Candidates are verified by the exact
@@ -35,7 +35,8 @@ THRESHOLD = 0.8
 #: At similarity 0.8 about ten of 64 bits differ, with a deviation of three.
 RADIUS = 20
 BLOCKS = 4
-#: Items broadcast at once (about 0.1 MB each with their index); a larger benchmark goes in several such parts.
+#: Items broadcast at once (about 0.1 MB each with their index); a larger benchmark goes in several such parts,
+#: which share the weights of the whole benchmark and so give the same matches.
 PART_ITEMS = 512
 
 
@@ -56,6 +57,25 @@ def simhash(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return out
 
 
+@dataclass
+class Weights:
+    """Weights of shingles over the whole benchmark; every part of it uses these."""
+
+    known: np.ndarray  # all shingle hashes of all parts, sorted
+    weight: np.ndarray
+    other: float
+    coarse: np.ndarray  # which leading 20 bits any known shingle has
+
+    def locate(self, h: np.ndarray) -> np.ndarray:
+        """Place of each shingle among the known ones, -1 for those of no item."""
+        out = np.full(h.shape, -1, np.int64)
+        maybe = np.flatnonzero(self.coarse[h >> np.uint64(44)])
+        at = np.minimum(np.searchsorted(self.known, h[maybe]), len(self.known) - 1)
+        hit = self.known[at] == h[maybe]
+        out[maybe[hit]] = at[hit]
+        return out
+
+
 @dataclass
 class Group:
     """Items of one size: ids, shingles, weights, fingerprints, and the multi-index over them."""
@@ -65,7 +85,7 @@ class Group:
     ids: list[int]
     bags: list[dict[int, int]]
     prints: np.ndarray
-    member: np.ndarray  # which known shingles these items have
+    member: np.ndarray  # which shingles of the part these items have
     least: float = 0.0
     index: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # per block: sorted values within reach of an item, and the items
 
@@ -76,27 +96,17 @@ def _balls(radius: int) -> np.ndarray:
 
 
 @dataclass
-class Benchmark:
-    known: np.ndarray  # all shingle hashes, sorted
-    weight: np.ndarray
-    other: float
+class Part:
+    """Some of the items, by size; its own shingles are places in the weights, sorted."""
+
+    own: np.ndarray
     groups: list[Group]
     radius: int
     threshold: float
-    coarse: np.ndarray  # which leading 20 bits any known shingle has
-
-    def locate(self, h: np.ndarray) -> np.ndarray:
-        """Place of each shingle among the known ones, -1 for those of no item."""
-        out = np.full(h.shape, -1, np.int64)
-        maybe = np.flatnonzero(self.coarse[h >> np.uint64(44)])
-        at = np.minimum(np.searchsorted(self.known, h[maybe]), len(self.known) - 1)
-        hit = self.known[at] == h[maybe]
-        out[maybe[hit]] = at[hit]
-        return out
 
 
-def build(items: list[tuple[int, str | None]], threshold: float = THRESHOLD, radius: int = RADIUS) -> Benchmark | None:
-    """Index of a bounded list of (item_id, text); None if no item has a word."""
+def _bags(items: list[tuple[int, str | None]]) -> tuple[T.Words, list[dict[int, int]], list[int]]:
+    """Words of the items, and for each its shingles with their number, and its size."""
     w = _words(pa.array([t for _, t in items], pa.string()))
     bags, sizes = [], []
     for i in range(len(items)):
@@ -108,42 +118,61 @@ def build(items: list[tuple[int, str | None]], threshold: float = THRESHOLD, rad
             bag[r] = bag.get(r, 0) + 1
         bags.append(bag)
         sizes.append(len(h))
-    have: dict[int, int] = {}
-    for bag in bags:
-        for r in bag:
-            have[r] = have.get(r, 0) + 1
-    if not have:
+    return w, bags, sizes
+
+
+def weigh(parts: list[list[tuple[int, str | None]]]) -> Weights | None:
+    """Weights over all parts together; None if no item has a word."""
+    hashes, n = [], 0
+    for items in parts:
+        _, bags, sizes = _bags(items)
+        hashes += [np.fromiter(bag, np.uint64, len(bag)) for bag in bags]
+        n += sum(s > 0 for s in sizes)
+    if not n:
         return None
-    known = np.array(sorted(have), np.uint64)
-    n = sum(s > 0 for s in sizes)
-    weight = np.array([math.log(1 + n / have[int(r)]) for r in known])
+    known, have = np.unique(np.concatenate(hashes), return_counts=True)
     coarse = np.zeros(1 << 20, bool)
     coarse[known >> np.uint64(44)] = True
-    b = Benchmark(known, weight, math.log(1 + n), [], radius, threshold, coarse)
+    return Weights(known, np.log(1 + n / have), math.log(1 + n), coarse)
+
+
+def build(items: list[tuple[int, str | None]], table: Weights, threshold: float = THRESHOLD, radius: int = RADIUS) -> Part | None:
+    """Index of a bounded list of (item_id, text) under the weights of the whole benchmark; None if no item has a word."""
+    w, bags, sizes = _bags(items)
+    if not any(sizes):
+        return None
+    own = table.locate(np.array(sorted({r for bag in bags for r in bag}), np.uint64))
+    part = Part(own, [], radius, threshold)
     near = _balls(radius // BLOCKS)
     for size in sorted({s for s in sizes if s}):
         mine = [i for i, s in enumerate(sizes) if s == size]
         k = min(SHINGLE, size)
         rows = np.array([_runs(w.hash[w.first[i] : w.first[i + 1]], k) for i in mine])
-        g = Group(size, k, [items[i][0] for i in mine], [bags[i] for i in mine], simhash(rows, weight[b.locate(rows.ravel())].reshape(rows.shape)), np.zeros(len(known), bool))
-        totals = [sum(c * b.weight[np.searchsorted(known, np.uint64(r))] for r, c in bag.items()) for bag in g.bags]
+        g = Group(size, k, [items[i][0] for i in mine], [bags[i] for i in mine], simhash(rows, table.weight[table.locate(rows.ravel())].reshape(rows.shape)), np.zeros(len(own), bool))
+        totals = [sum(c * table.weight[np.searchsorted(table.known, np.uint64(r))] for r, c in bag.items()) for bag in g.bags]
         g.least = threshold * min(totals)
-        g.member[[int(np.searchsorted(known, np.uint64(r))) for bag in g.bags for r in bag]] = True
+        g.member[np.searchsorted(own, table.locate(np.array([r for bag in g.bags for r in bag], np.uint64)))] = True
         for block in range(BLOCKS):
             v = ((g.prints >> np.uint64(16 * block)) & np.uint64(0xFFFF)).astype(np.uint32)
             reach = (v[:, None] ^ near[None, :]).ravel()
             owner = np.repeat(np.arange(len(mine), dtype=np.uint16), len(near))
             order = np.argsort(reach, kind="stable")
             g.index.append((reach[order].astype(np.uint16), owner[order]))
-        b.groups.append(g)
-    return b
+        part.groups.append(g)
+    return part
 
 
 class Finder:
     """Matches of documents."""
 
-    def __init__(self, b: Benchmark):
-        self.b = b
+    def __init__(self, table: Weights, b: Part):
+        self.table, self.b = table, b
+
+    def owned(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which known shingles are of this part, and where those are among its own."""
+        at = np.minimum(np.searchsorted(self.b.own, place), len(self.b.own) - 1)
+        mine = np.flatnonzero(self.b.own[at] == place)
+        return mine, at[mine]
 
     def candidates(self, g: Group, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window, item, distance) of every fingerprint pair within the radius, by the multi-index."""
@@ -168,19 +197,20 @@ class Finder:
             most += weights[r] * max(c, item.get(r, 0))
         for r, c in item.items():
             if r not in bag:
-                most += c * float(self.b.weight[np.searchsorted(self.b.known, np.uint64(r))])
+                most += c * float(self.table.weight[np.searchsorted(self.table.known, np.uint64(r))])
         return both / most if both >= self.b.threshold * most - 1e-12 else 0.0
 
     def search(self, runs: np.ndarray, place: np.ndarray, groups: list[Group], k: int) -> dict[int, tuple[float, int, int, int]]:
         """Best window of each item in one document: (similarity, first word, words, distance)."""
-        b = self.b
         best: dict[int, tuple[float, int, int, int]] = {}
         hit = np.flatnonzero(place >= 0)
-        weights = np.full(len(runs), b.other)
-        weights[hit] = b.weight[place[hit]]
+        weights = np.full(len(runs), self.table.other)
+        weights[hit] = self.table.weight[place[hit]]
+        in_part, at_own = self.owned(place[hit])
+        hit = hit[in_part]
         for g in groups:
             own = np.zeros(len(runs) + 1)
-            own[hit + 1] = weights[hit] * g.member[place[hit]]
+            own[hit + 1] = weights[hit] * g.member[at_own]
             own = np.cumsum(own)
             m = min(g.words - k + 1, len(runs))
             starts = np.flatnonzero(own[m:] - own[:-m] >= g.least - 1e-9)  # others hold too little of any item
@@ -211,8 +241,11 @@ class Finder:
             if len(w.hash) < k:
                 continue
             runs = _runs(w.hash, k)
-            place = b.locate(runs)
-            held = np.concatenate([[0.0], np.cumsum(np.where(place >= 0, b.weight[place], 0.0))])
+            place = self.table.locate(runs)
+            mine, _ = self.owned(place)
+            held = np.zeros(len(runs) + 1)
+            held[mine + 1] = self.table.weight[place[mine]]
+            held = np.cumsum(held)
             begin = np.minimum(w.first[:-1], len(runs))
             last = np.maximum(np.minimum(w.first[1:] - k + 1, len(runs)), begin)  # one past the last run of each document
             for doc in np.flatnonzero((held[last] - held[begin] >= min(g.least for g in groups) - 1e-9) & (last > begin)):
@@ -221,15 +254,17 @@ class Finder:
         return [[(i, *v) for i, v in sorted(x.items())] for x in best]
 
 
-def benchmarks(items: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> list[Benchmark]:
-    """The items (item_id, text) as indexes of PART_ITEMS at most; one part is broadcast at a time."""
+def benchmarks(items: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> tuple[Weights | None, list[Part]]:
+    """The weights over all items (item_id, text), and the items as indexes of PART_ITEMS at most, broadcast one by one."""
     items = items.select("item_id", "text").filter("text is not null and item_id is not null")
-    parts = max(1, math.ceil(items.count() / (PART_ITEMS * 0.8)))
-    out = []
-    for k in range(parts):
-        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).collect()
-        out.append(build(sorted((r["item_id"], r["text"]) for r in rows), threshold, radius))
-    return [b for b in out if b is not None]
+    n = max(1, math.ceil(items.count() / (PART_ITEMS * 0.8)))
+    parts = []
+    for k in range(n):
+        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()
+        parts.append(sorted((r["item_id"], r["text"]) for r in rows))
+    table = weigh(parts)
+    built = [] if table is None else [build(p, table, threshold, radius) for p in parts]
+    return table, [b for b in built if b is not None]
 
 
 def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
@@ -238,11 +273,13 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, rad
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("distance", pa.int32())])
     spark = docs.sparkSession
     out = spark.createDataFrame([], kind)
-    for k, b in enumerate(benchmarks(items, threshold, radius)):
+    table, parts = benchmarks(items, threshold, radius)
+    weights = spark.sparkContext.broadcast(table)
+    for k, b in enumerate(parts):
         shared = spark.sparkContext.broadcast(b)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            find = Finder(shared.value)
+            find = Finder(weights.value, shared.value)
             for whole in batches:
                 for s in T.slices(whole):
                     rows = [(d, i, round(x, 6), a, n, h) for d, found in zip(s.column("doc_id").to_pylist(), find(s.column("text")), strict=True) for i, x, a, n, h in found]
@@ -256,11 +293,13 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, rad
 
 def keep_clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
     """The rows, with all their columns, that hold no item."""
-    for b in benchmarks(items, threshold, radius):
+    table, parts = benchmarks(items, threshold, radius)
+    weights = docs.sparkSession.sparkContext.broadcast(table)
+    for b in parts:
         shared = docs.sparkSession.sparkContext.broadcast(b)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            find = Finder(shared.value)
+            find = Finder(weights.value, shared.value)
             for whole in batches:
                 for s in T.slices(whole):
                     yield s.filter(pa.array([not found for found in find(s.column("text"))], pa.bool_()))
