@@ -38,6 +38,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from waneline.llm import text as T
 
@@ -408,8 +409,8 @@ def block_links(texts: DataFrame, rule: Rule) -> DataFrame:
     return texts.groupBy("task").applyInArrow(join, "u long, v long")
 
 
-def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
-    """doc_id, n_shingles and component_id of every document (the least doc_id that links lead to)."""
+def _grouped(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """The rows as ``classed`` gives them, and the classes: s1, s2, least (doc_id), component_id, and whether the class is the first of its component."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     members = T.written(classed(docs, rule))
     classes = members.filter("s1 is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.min("vector").alias("vector"))
@@ -426,16 +427,45 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
     texts = docs.join(tasks.withColumnRenamed("least", "doc_id").hint("shuffle_hash"), "doc_id").select("task", "side", "s1", "text").filter("text is not null")
     linked = components(block_links(texts, rule)).withColumnRenamed("node", "s1")
 
-    top = classes.join(linked, "s1").groupBy("root").agg(F.min("least").alias("component"))
-    named = linked.join(top, "root").select("s1", "component")
-    final = classes.join(named, "s1", "left").select("s1", "s2", F.coalesce("component", "least").alias("component_id"))
+    top = classes.join(linked, "s1").groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "s1")).alias("top"))
+    named = linked.join(top, "root").select("s1", F.col("top.least").alias("component"), (F.col("s1") == F.col("top.s1")).alias("first"))
+    final = classes.join(named, "s1", "left").select("s1", "s2", "least", F.coalesce("component", "least").alias("component_id"), F.coalesce("first", F.lit(True)).alias("first"))
+    return members, final
+
+
+def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
+    """doc_id, n_shingles and component_id of every document (the least doc_id that links lead to)."""
+    members, final = _grouped(docs, rule)
+    final = final.select("s1", "s2", "component_id")
     return members.join(final, ["s1", "s2"], "left").select("doc_id", "n_shingles", F.when(F.col("s1").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def _with_digests(docs: DataFrame, rule: Rule) -> DataFrame:
+    """The rows with the class digest of their text in _s1 and _s2, null for empty sets."""
+    schema = StructType([*docs.schema.fields, StructField("_s1", LongType()), StructField("_s2", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in T.slices(whole):
+                d = [_digest(s) if len(s) else (None, None) for s in shingle_sets(b.column("text"), rule.n)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64())], [*b.schema.names, "_s1", "_s2"])
+
+    return docs.mapInArrow(run, schema)
+
+
 def keep_one(docs: DataFrame, rule: Rule = Rule(5, 80)) -> DataFrame:  # noqa: B008
-    """The rows, with all their columns, that have the least doc_id of their component; of equal ids every row, and rows without an id, stay."""
-    gone = join(docs, rule).filter("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["_gone"], "left_anti")
+    """One row, with all its columns, of each component: one with the least doc_id (a null id is the last). Rows with empty sets stay.
+
+    A row goes by its id and the digest of its text together, so other texts under its id stay.
+    """
+    members, final = _grouped(docs, rule)
+    key = [F.coalesce("doc_id", F.lit(0)).cast("long").alias("_id"), F.col("doc_id").isNull().alias("_none")]
+    gone = members.join(final, ["s1", "s2"]).filter(~(F.col("first") & F.col("doc_id").eqNullSafe(F.col("least"))))
+    gone = gone.select(*key, F.col("s1").alias("_s1"), F.col("s2").alias("_s2")).distinct()
+    own = F.when(F.col("_s1").isNull(), F.monotonically_increasing_id()).alias("_own")  # keeps rows with empty sets apart
+    rows = _with_digests(docs, rule).select("*", *key, own)
+    left = rows.join(gone.hint("shuffle_hash"), ["_id", "_none", "_s1", "_s2"], "left_anti")
+    return left.dropDuplicates(["_id", "_none", "_s1", "_s2", "_own"]).select(*docs.columns)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
