@@ -92,7 +92,7 @@ def _grid(s: SparkSession, d: str) -> DataFrame:
 
 
 def _fits(s: SparkSession, d: str) -> DataFrame:
-    return decay.fit_decay(fx.supplier_month(s, d), n_boot=200)
+    return decay.fit_decay(fx.supplier_month(s, d))
 
 
 def _lifetime(s: SparkSession, d: str) -> DataFrame:
@@ -107,7 +107,7 @@ def _lifetime(s: SparkSession, d: str) -> DataFrame:
 
 
 def _walk(s: SparkSession, d: str) -> DataFrame:
-    return compare.walk_forward(fx.supplier_month(s, d), min_obs=48, step=12, n_boot=100)
+    return compare.walk_forward(fx.supplier_month(s, d), min_obs=48, step=12)
 
 
 def _horizons(s: SparkSession, d: str) -> DataFrame:
@@ -130,7 +130,7 @@ def _link(s: SparkSession, d: str) -> DataFrame:
 def _report(s: SparkSession, d: str) -> report.FadeReport:
     return report.analyze(
         fx.strategy(s, d).select("date", "value"), fx.brand_signal(s, d), panel.forward_returns(fx.brand_returns(s, d)), SAMPLE_END, PUBLISHED,
-        crowding.crowding_score(fx.brand_week(s, d), fx.legs(s, d), None, window=52), crowding_horizon=3, window=12, freq="M", n_boot=200,
+        crowding.crowding_score(fx.brand_week(s, d), fx.legs(s, d), None, window=52), crowding_horizon=3, window=12, freq="M",
     )
 
 
@@ -181,7 +181,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "signal_lifetime": _lifetime,
     "holm": _adjust("holm"),
     "bh": _adjust("bh"),
-    "compare_signals": lambda s, d: compare.compare_signals(fx.supplier_month(s, d), n_boot=100),
+    "compare_signals": lambda s, d: compare.compare_signals(fx.supplier_month(s, d)),
     "walk_forward": _walk,
     "walk_forward_stability": lambda s, d: compare.walk_forward_stability(_walk(s, d)),
     "ic_by_horizon": lambda s, d: tidy(_horizons(s, d)),
