@@ -84,8 +84,11 @@ def buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def words(data: np.ndarray, off: np.ndarray, separators: np.ndarray = SPACES, lower: bool = False, heads: tuple[int, ...] = ()) -> Words:
-    """Split every document at separator bytes and hash the words (and leading parts of them)."""
+def words(data: np.ndarray, off: np.ndarray, separators: np.ndarray = SPACES, lower: bool = False, heads: tuple[int, ...] = (), split: tuple[np.ndarray, np.ndarray] | None = None) -> Words:
+    """Split every document at separator bytes and hash the words (and leading parts of them).
+
+    ``split`` parts a word further wherever a byte of its first set is followed by one of its second.
+    """
     n = len(data)
     if not n:
         none = np.empty(0, np.int64)
@@ -97,6 +100,9 @@ def words(data: np.ndarray, off: np.ndarray, separators: np.ndarray = SPACES, lo
     begins = word & gap[:-1]
     ends = word.copy()
     ends[:-1] &= gap[2:]
+    if split is not None:
+        apart = np.flatnonzero(split[0][data[:-1]] & split[1][data[1:]])
+        ends[apart], begins[apart + 1] = True, True
     inner = off[1:-1]
     inner = inner[(inner > 0) & (inner < n)]
     begins[inner] = word[inner]  # documents stand next to each other with nothing between
