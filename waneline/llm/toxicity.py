@@ -24,8 +24,11 @@ from pyspark.sql import functions as F
 from waneline.llm import text as T
 from waneline.llm.langid import fold, sampled
 
-#: At most about so many labelled rows are learned from; they are picked by a hash of the id.
-TRAIN_ROWS = 12_000
+#: At most about so many labelled rows, and so many bytes of their texts, are learned from; rows are picked by a hash of the id.
+TRAIN_ROWS = 8_000
+TRAIN_BYTES = 1 << 24
+#: Terms whose pairs are weighed before learning: the most frequent ones among toxic texts.
+PAIR_TERMS = 2048
 BITS = 20
 HEADS = (3, 4, 5, 6, 7)
 
@@ -70,30 +73,69 @@ class ToxicityModel:
 NO_MODEL = ToxicityModel(np.full(1 << BITS, -1, np.int32), np.zeros(1), np.zeros((1, 1)), -40.0)
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, most: int = 4096, rank: int = 6, epochs: int = 25, seed: int = 3, bits: int = BITS, seen: int = 5, clear: float = 3.0) -> ToxicityModel:
-    """Learn from distinct term buckets of each text. The ``most`` terms that tell classes best apart are learned: in ``seen`` texts or more, apart by more than ``clear`` standard errors."""
+def _apart(p: np.ndarray, q: np.ndarray, n_pos: float, n_neg: float) -> np.ndarray:
+    """Difference of the shares of p in n_pos and of q in n_neg rows, in standard errors."""
+    p, q = (p + 0.5) / (n_pos + 1), (q + 0.5) / (n_neg + 1)
+    return (p - q) / np.sqrt(p * (1 - np.minimum(p, 0.999)) / (n_pos + 1) + q * (1 - np.minimum(q, 0.999)) / (n_neg + 1))
+
+
+def in_pairs(flat: np.ndarray, owner: np.ndarray, y: np.ndarray, terms_: np.ndarray, z: np.ndarray, seen: int, clear: float) -> np.ndarray:
+    """Those of the terms that tell the classes apart together with another one, clearly better than either alone."""
+    at = np.full(int(flat.max(initial=0)) + 1, -1, np.int32)
+    at[terms_] = np.arange(len(terms_))
+    col = at[flat]
+    kept = col >= 0
+    col, row = col[kept], owner[kept]
+    both = [np.zeros((len(terms_), len(terms_)), np.float32) for _ in range(2)]
+    for label in (0, 1):
+        mine = np.flatnonzero(y == label)
+        place = np.full(len(y), -1, np.int32)
+        place[mine] = np.arange(len(mine))
+        r, c = place[row], col
+        r, c = r[r >= 0], c[place[row] >= 0]
+        for lo in range(0, len(mine), 1024):
+            a, z_ = np.searchsorted(r, [lo, lo + 1024])
+            x = np.zeros((1024, len(terms_)), np.float32)
+            x[r[a:z_] - lo, c[a:z_]] = 1
+            both[label] += x.T @ x
+    single = np.abs(z[terms_])
+    found = np.zeros(len(terms_), bool)
+    for lo in range(0, len(terms_), 256):  # some rows of the matrix at a time
+        pair = np.abs(_apart(both[1][lo : lo + 256], both[0][lo : lo + 256], float(y.sum()), float(len(y) - y.sum())))
+        strong = (pair > 2 * clear) & (pair > 1.5 * np.maximum(single[lo : lo + 256, None], single[None])) & (both[1][lo : lo + 256] + both[0][lo : lo + 256] >= seen)
+        found |= strong.any(0)
+        found[lo : lo + 256] |= strong.any(1)
+    return terms_[found]
+
+
+def fit(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, rank: int = 6, epochs: int = 25, seed: int = 3, bits: int = BITS, seen: int = 5, clear: float = 3.0) -> ToxicityModel:
+    """Learn from the distinct term buckets of the texts, one after the other, and how many each has.
+
+    Terms are learned that are in ``seen`` texts or more and whose share differs between the
+    classes by more than ``clear`` standard errors, alone or together with another term; of
+    the latter, pairs of the PAIR_TERMS most frequent terms of toxic texts are weighed.
+    """
     y = np.asarray(y, float)
     if not len(y) or not y.any():
         return NO_MODEL
-    size = 1 << bits
-    flat = np.concatenate(rows).astype(np.int64)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    pos, all_ = np.bincount(flat, y[owner], size), np.bincount(flat, minlength=size)
-    p, q = (pos + 0.5) / (y.sum() + 1), (all_ - pos + 0.5) / (len(y) - y.sum() + 1)
-    z = np.where(all_ >= seen, (p - q) / np.sqrt(p * (1 - np.minimum(p, 0.999)) / (y.sum() + 1) + q * (1 - np.minimum(q, 0.999)) / (len(y) - y.sum() + 1)), 0)
-    chosen = np.argsort(-np.abs(z), kind="stable")[:most]
-    chosen = np.sort(chosen[np.abs(z[chosen]) > clear])
+    size, n_rows = 1 << bits, len(sizes)
+    owner = np.repeat(np.arange(n_rows, dtype=np.int32), sizes)
+    pos, all_ = np.bincount(flat[np.repeat(y > 0, sizes)], minlength=size), np.bincount(flat, minlength=size)
+    z = np.where(all_ >= seen, _apart(pos, all_ - pos, y.sum(), len(y) - y.sum()), 0)
+    often = np.argsort(-pos, kind="stable")[:PAIR_TERMS]
+    often = np.sort(often[pos[often] >= seen])
+    chosen = np.union1d(np.flatnonzero(np.abs(z) > clear), in_pairs(flat, owner, y, often, z, seen, clear) if len(often) else often)
     place = np.full(size, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     at, kept = place[flat], place[flat] >= 0
     at, owner = at[kept].astype(np.int64), owner[kept]
-    begin = np.searchsorted(owner, np.arange(len(rows) + 1))
+    begin = np.searchsorted(owner, np.arange(n_rows + 1))
     rng = np.random.default_rng(seed)
     m = ToxicityModel(place, np.zeros(max(1, len(chosen))), rng.normal(0, 0.02, (max(1, len(chosen)), rank)), float(np.log(y.mean() / (1 - min(y.mean(), 0.999)))), bits)
     w1, w2, v1, v2 = np.zeros_like(m.weight), np.zeros_like(m.weight), np.zeros_like(m.vector), np.zeros_like(m.vector)
     step = 0
     for _ in range(epochs):
-        order = rng.permutation(len(rows))
+        order = rng.permutation(n_rows)
         for lo in range(0, len(order), 256):
             mine = order[lo : lo + 256]
             sizes = begin[mine + 1] - begin[mine]
@@ -117,10 +159,14 @@ def fit(rows: list[np.ndarray], y: np.ndarray, most: int = 4096, rank: int = 6,
     return m
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> ToxicityModel:
-    """Learn from labelled rows (doc_id, toxic). The sampled labels are at most about ``most`` rows, which bounds the broadcast and what reaches the driver."""
+def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> ToxicityModel:
+    """Learn from labelled rows (doc_id, toxic): about ``most`` of them or fewer, with about ``most_bytes`` of text or fewer, which bounds the broadcast and what reaches the driver."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("_y"))
     known = sampled(known, most)
+    texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if total > most_bytes:
+        texts = texts.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < int(most_bytes / total * (1 << 30)))
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -131,9 +177,11 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Toxicit
                 each = (pair & ((1 << BITS) - 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column("_y"), pa.array([each[i:j].tobytes() for i, j in zip(cut, cut[1:], strict=False)], pa.binary())], ["_y", "f"])
 
-    got = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("_y", "text").mapInArrow(featurize, "_y int, f binary").collect()
-    got.sort(key=lambda r: (r["_y"], bytes(r["f"])))  # the same model whatever the order of the rows
-    return fit([np.frombuffer(r["f"], np.int32) for r in got], np.array([r["_y"] for r in got]))
+    got = texts.select("_y", "text").mapInArrow(featurize, "_y int, f binary").toArrow()
+    order = got.sort_by([("_y", "ascending"), ("f", "ascending")])  # the same model whatever the order of the rows
+    f = order.column("f")
+    flat = np.frombuffer(b"".join(f.to_pylist()), np.int32)
+    return fit(flat, pc.binary_length(f).to_numpy() // 4, order.column("_y").to_numpy())
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
