@@ -299,22 +299,72 @@ def test_components_match_brute_force(spark, n, percent, monkeypatch):
     docs = planted(n, 240, 0.01)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
     want = brute_components(docs, n, percent)
-    for most in (8192, 7):  # the second deals blocks into chunks
-        monkeypatch.setattr(jaccard, "BLOCK_ROWS", most)
+    for small in (False, True):  # the second deals keys, stars and blocks into chunks
+        if small:
+            for name, most in (("KEY_ROWS", 5), ("BLOCK_ROWS", 7), ("STAR_ROWS", 3), ("LOCAL", 2)):
+                monkeypatch.setattr(jaccard, name, most)
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows(jaccard.join(df, jaccard.Rule(n, percent)))} == want
 
 
-def test_keys_meet_for_every_linked_pair():
-    rule, rng = jaccard.Rule(4, 85), np.random.default_rng(1)
+@pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80)])
+def test_components_of_whole_documents(spark, documents, texts, n, percent):
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows(jaccard.join(documents.where("doc_id < 500"), jaccard.Rule(n, percent)))} == brute_components([(d, t) for d, t in texts.items() if d < 500], n, percent)
+
+
+def test_chains_whose_ends_share_keys_but_not_enough(spark, monkeypatch):
+    """A line of texts, each near the next, and many texts with one common passage: the least class of a key is rarely a partner."""
+    rng = np.random.default_rng(5)
+    common = [f"c{x}" for x in range(40)]
+    docs, words_ = [], [f"w{x}" for x in range(120)]
+    for k in range(60):
+        words_ = words_[6:] + [f"n{k}x{j}" for j in range(6)]
+        docs.append((k, " ".join(words_)))
+        own = [f"o{rng.integers(10**6)}" for _ in range(60)]
+        docs.append((1000 + k, " ".join(common + own)))
+        docs.append((2000 + k, " ".join(common + own[:-2])))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    want = brute_components(docs, 4, 85)
+    for most in (4096, 4):
+        monkeypatch.setattr(jaccard, "KEY_ROWS", most)
+        monkeypatch.setattr(jaccard, "LOCAL", most)
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows(jaccard.join(df, jaccard.Rule(4, 85)))} == want
+
+
+@pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80), (5, 70)])
+def test_keys_meet_for_every_linked_pair(n, percent):
+    rule, rng = jaccard.Rule(n, percent), np.random.default_rng(1)
     table = rule.classes(1 << 14)
-    for _ in range(1500):
+    odd = 0
+    for k in range(3000):
         a = int(rng.integers(1, 400))
-        s = np.unique(rng.integers(0, 1 << 63, a).astype(np.uint64))
-        drop = int(rng.integers(0, max(1, a // 8) + 1))
-        t = np.unique(np.concatenate([rng.permutation(s)[drop:], rng.integers(0, 1 << 63, int(rng.integers(0, drop + 1))).astype(np.uint64)]))
+        if k % 3:
+            s = np.unique(rng.integers(0, 1 << 63, a).astype(np.uint64))
+        else:  # few groups of the first dealing have content
+            s = np.unique(rng.integers(0, 1 << 60, a).astype(np.uint64))
+        drop = int(rng.integers(0, max(1, a // 5) + 1))
+        t = np.unique(np.concatenate([rng.permutation(s)[drop:], rng.integers(0, 1 << 60, int(rng.integers(0, drop + 1))).astype(np.uint64)]))
         both = len(np.intersect1d(s, t))
-        if len(t) and 100 * both >= 85 * (len(s) + len(t) - both) and len(s) + len(t) > 2 * both:
+        if len(t) and 100 * both >= percent * (len(s) + len(t) - both) and len(s) + len(t) > 2 * both:
+            odd += not k % 3
             assert np.intersect1d(jaccard.keys(s, rule, table), jaccard.keys(t, rule, table)).size
+    assert odd > 50
+
+
+def test_the_tree_finds_what_all_pairs_find():
+    rng = np.random.default_rng(2)
+    rule = jaccard.Rule(4, 85)
+    sets = []
+    for _ in range(40):
+        base = rng.integers(0, 1 << 63, int(rng.integers(20, 300))).astype(np.uint64)
+        for _ in range(6):
+            sets.append(np.unique(np.concatenate([rng.permutation(base)[int(len(base) * rng.random() * 0.2) :], rng.integers(0, 1 << 63, 2).astype(np.uint64)])))
+    up = list(range(len(sets)))
+    root = lambda i: i if up[i] == i else root(up[i])
+    pairs = {(i, j) for i in range(len(sets)) for j in range(i) if jaccard.overlap_of(sets[i], sets[j]) >= rule.overlap(len(sets[i]), len(sets[j]))}
+    for i, j in jaccard.link_within(sets, rule):
+        assert (max(i, j), min(i, j)) in pairs
+        up[root(i)] = root(j)
+    assert pairs and all(root(i) == root(j) for i, j in pairs)
 
 
 def test_join_of_odd_tables(odd, empty):
@@ -333,20 +383,49 @@ def test_toxicity_of_held_out_rows(spark, odd, empty):
     bad = [got[r["doc_id"]]["score"] for r in held if r["toxic"]]
     good = [got[r["doc_id"]]["score"] for r in held if not r["toxic"]]
     assert np.mean([(a > b) + 0.5 * (a == b) for a in bad for b in good]) > 0.85 and np.mean(np.array(good) < 0.5) > 0.97
+    trained = toxicity.learned(spark, sf)
+    assert {r["doc_id"] for r in rows(toxicity.score(odd, trained))} == {1, 2, 3, None, 4, 5, 6, 7, 8, 9} and all(0 <= r["score"] <= 1 for r in rows(toxicity.score(odd, trained)))
+    assert toxicity.keep_clean(odd, trained).columns == odd.columns and toxicity.keep_clean(empty, trained).count() == 0
     nothing = toxicity.train(odd, spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.keep_clean(odd, nothing).count() == 11 and toxicity.score(empty, nothing).count() == 0
 
 
+def flat(data):
+    return np.concatenate(data), np.array([len(x) for x in data])
+
+
 def test_pairs_count_beyond_single_terms():
     rng = np.random.default_rng(0)
     a, b, noise = rng.random(3000) < 0.5, rng.random(3000) < 0.5, rng.integers(100, 200, (3000, 3))
     data = [np.unique(np.r_[np.flatnonzero([x, y]), z]).astype(np.int32) for x, y, z in zip(a, b, noise, strict=True)]
-    m = toxicity.fit(data, a & b, epochs=20)
+    m = toxicity.fit(*flat(data), a & b, epochs=20)
     at = m.place[[0, 1]]
     z = m.logit(np.array([0, 1, 2, 2]), np.array([at[0], at[1], at[0], at[1]]), 3)
     assert z[2] > 0 > max(z[0], z[1])
 
 
+def test_pairs_without_any_effect_of_their_own():
+    """Toxic texts have both of two terms or neither, the others one: each term alone is as common in both classes."""
+    rng = np.random.default_rng(4)
+    a, b = rng.random(4000) < 0.5, rng.random(4000) < 0.5
+    data = [np.unique(np.r_[np.flatnonzero([x, y]), z]).astype(np.int32) for x, y, z in zip(a, b, rng.integers(100, 160, (4000, 5)), strict=True)]
+    m = toxicity.fit(*flat(data), a == b, epochs=60)
+    at = m.place[[0, 1]]
+    assert (at >= 0).all()
+    z = m.logit(np.array([0, 1, 2, 2]), np.array([at[0], at[1], at[0], at[1]]), 4)
+    assert min(z[2], z[3]) > max(z[0], z[1])
+
+
+def test_training_is_bounded_in_rows_and_bytes(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda f, sizes, y: seen.append((len(sizes), len(f))))
+    docs = spark.range(4000).selectExpr("id as doc_id", "concat('word', id, ' and some more of it') as text")
+    labels = spark.range(4000).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    toxicity.train(docs, labels, most=2000)
+    toxicity.train(docs, labels, most=2000, most_bytes=30_000)
+    assert 1700 < seen[0][0] < 2300 and 500 < seen[1][0] < 1500
+
+
 def test_texts_beyond_ascii_hash_alike():
     bucket, row = toxicity.terms(pa.array(["ÉTÉ x", "été X", None, ""]))
     assert sorted(bucket[row == 0]) == sorted(bucket[row == 1]) and not (row > 1).any()

@@ -5,20 +5,22 @@ Two documents link when their Jaccard coefficient reaches ``percent`` hundredths
 whole numbers. The result is complete: no linked pair of different texts is left out.
 
 1. Equal sets are one class, known by a 128-bit digest; copies are never paired.
-2. Count vectors. Shingle hashes are dealt into groups by their leading bits. Linked sets
-   differ in a bounded number of shingles, so if there are more groups than that, some group
-   has equal content in both: the digest of each group's content is a key, and sets without a
-   common key cannot link. How many groups follows from the size class of a set; sets near
-   the next class are keyed for it too. Keys are counted in Spark as packed arrays, of which a
-   task sends one for each key and class.
-3. Pairs of classes that share a key are bounded by their count vectors, as below; those that
-   can link form blocks (connected components, found in Spark). A key of very many classes
-   joins them all instead. In a block the count vectors are the points of a packed R-tree. Two nodes are compared by the sum over
-   coordinates of the lesser of their upper bounds: it bounds the overlap of any pair below
-   them, and pairs of nodes that cannot reach the needed overlap are cut off. Surviving pairs
-   of points are verified on their sets, unless they are connected already: components need
-   no second proof. A block too large for one task is dealt into chunks, and each pair of
-   chunks is joined in a task of its own.
+2. Hash groups. Shingle hashes are dealt into groups by their leading bits. Linked sets differ
+   in a bounded number of shingles, so with more groups than that some group has equal content
+   in both. The digest of a group's content is a key, empty groups have none: a linked pair
+   lacks a common key only if *both* sets fill too few groups, and a set that does is keyed
+   again by another dealing, and so on (after the last, by its single shingles). How many groups
+   there are follows from the size class of a set; sets near the next class are keyed for it too.
+3. Count vectors. A set is a point whose coordinates count its shingles by hash. The sum of the
+   lesser coordinates bounds the overlap of two sets, and no pair is verified that the bound
+   excludes. First every class is compared with the least one of each of its keys: bounded,
+   verified, joined. Keys whose classes are then in one component are done, however many they
+   are. For every other key the points of its classes make a packed R-tree: pairs of nodes are
+   compared by the lesser of their upper bounds, from the root down, and of the pairs of
+   points that can link a spanning forest is kept. What those connect are the blocks.
+4. The sets of a block are verified along an R-tree of theirs, unless they are connected already:
+   components need no second proof. Keys and blocks too large for a task are dealt into chunks,
+   and each pair of chunks is a task of its own.
 
 Defined cases: a null text, or one without words, has an empty set and links with nothing.
 A row with a null id takes part through a row with an id and an equal set; without one it
@@ -28,8 +30,9 @@ documents. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,15 +45,23 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from waneline.llm import text as T
 
-DIMS = 64
+#: Coordinates of count vectors.
+DIMS = 128
 LEAF = 16
-#: Sets of a block that one task takes; larger blocks are dealt into chunks of about so many.
-BLOCK_ROWS = 8192
+#: Members of a key, and sets of a block, that one task takes; of more, chunks of about so many are made.
+KEY_ROWS = 4096
+BLOCK_ROWS = 2048
+#: Sets that one task compares with a common centre.
+STAR_ROWS = 512
+#: Shingles whose texts a task of verification takes, in several keys, stars or blocks.
+TASK_SHINGLES = 1 << 20
 FLUSH = 1 << 20
-#: Keys with so many classes or fewer give all their pairs, to be bounded one by one; larger ones a star that is not.
-PAIRS_OF = 16
-#: Coordinates of the vectors that bound single pairs.
-PAIR_DIMS = 128
+#: A task that has a key for more classes than this sends the key on for one of them only, with a star of the others.
+LOCAL = 64
+#: Bytes of keys in one bucket of theirs.
+BUCKET_BYTES = 1 << 25
+#: Dealings into groups before single shingles are the keys.
+DEALINGS = 8
 
 
 @dataclass(frozen=True)
@@ -68,14 +79,30 @@ class Rule:
         """Most shingles that only one of two linked sets of up to ``most`` shingles has."""
         return (100 - self.percent) * 2 * most // (100 + self.percent)
 
+    def __post_init__(self):
+        if not 70 <= self.percent <= 100 or self.n < 1:
+            raise ValueError("shingles have a word or more, and percent is 70 to 100")
+
     def classes(self, most: int) -> list[tuple[int, int, int]]:
-        """Size classes (from, to, groups): linked sets that meet in a class have a common non-empty group unless a set has more empty groups than the spare ones."""
+        """Size classes (from, to, groups): linked sets are in one class or in neighbours.
+
+        There are so many groups that even the smallest set keyed in the class fills more of
+        them than linked sets can differ in, unless it deviates by two standard errors.
+        """
         out, lo = [], 1
         while lo <= most:
-            hi = max(lo + 1, math.ceil(lo * 102 / self.percent))  # linked sets are in one class or neighbours
-            most_differ = self.differ(hi - 1)
-            groups = most_differ + 1
-            out.append((lo, hi, groups + 2 + groups // 64 if most_differ else 1))
+            hi = max(lo + 1, math.ceil(lo * 102 / self.percent))
+            differ = self.differ(hi - 1)
+            least = max(1, math.ceil(lo * self.percent / 100))
+            groups = differ + 1 if differ else 1
+            while differ and groups < 4 * least:
+                load = least / groups
+                empty = groups * math.exp(-load)
+                spread = math.sqrt(empty * max(0.0, 1 - (1 + load) * math.exp(-load)))
+                if groups - empty - 2 * spread >= differ + 1:
+                    break
+                groups += max(1, groups // 128)
+            out.append((lo, hi, groups))
             lo = hi
         return out
 
@@ -104,26 +131,38 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return int(x[0]), int(x[1])
 
 
+@functools.cache
+def _seed(*parts: int) -> np.uint64:
+    x = np.zeros(1, np.uint64)
+    for p in parts:
+        x = T.mix(x + np.uint64((p * 0x9E3779B97F4A7C15 + 1) & ((1 << 64) - 1)))
+    return x[0]
+
+
 def keys(s: np.ndarray, rule: Rule, table: list[tuple[int, int, int]]) -> np.ndarray:
-    """Keys of a set: one for each group with content, in its size class and, near the end of that, in the next."""
+    """Keys of a set: one for each group with content, in its size class and, near the end of that, in the next.
+
+    Dealings go on until one fills more groups than linked sets of the class can differ in.
+    Of two linked sets take the first dealing that does so for either: both are keyed by it,
+    more groups are equal than that set leaves empty, so some equal group has content.
+    """
     n = len(s)
     at = next(i for i, (lo, hi, _) in enumerate(table) if lo <= n < hi)
     out = []
     for i in (at, at + 1):
-        lo, _, groups = table[i]
-        if i > at and rule.overlap(n, lo) > n:
-            continue  # no set of the next class is near enough
-        if groups == 1:  # linked sets of this size are equal
-            continue
-        group = ((s >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
-        begin = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        seed = np.uint64((i + 1) * 0x9E3779B97F4A7C15 & ((1 << 64) - 1))
-        out.append(T.mix(np.add.reduceat(T.mix(s ^ seed), begin) + group[begin]))
-        empty = groups - len(begin)
-        if empty > groups - 1 - rule.differ(table[i][1] - 1):
-            none = np.ones(groups, bool)
-            none[group[begin].astype(np.int64)] = False
-            out.append(T.mix(np.flatnonzero(none).astype(np.uint64) ^ T.mix(np.array([seed]))))
+        lo, hi, groups = table[i]
+        differ = rule.differ(hi - 1)
+        if not differ or (i > at and rule.overlap(n, lo) > n):
+            continue  # linked sets of this size are equal, or no set of the next class is near enough
+        for deal in range(DEALINGS):
+            x = np.sort(T.mix(s ^ _seed(deal))) if deal else s
+            group = ((x >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
+            begin = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            out.append(T.mix(np.add.reduceat(T.mix(x ^ _seed(i, deal, 1)), begin) + group[begin]))
+            if len(begin) > differ:
+                break
+        else:
+            out.append(T.mix(s ^ _seed(i, 2)))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
@@ -144,23 +183,23 @@ def classed(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _packed_vector(s: np.ndarray) -> bytes:
-    """Counts in PAIR_DIMS groups, a byte each where they fit, else four."""
-    c = count_vector(s, PAIR_DIMS)
+    """Counts in DIMS groups, a byte each where they fit, else four."""
+    c = count_vector(s)
     return (c.astype(np.uint8) if c.max(initial=0) < 256 else c.astype("<u4")).tobytes()
 
 
 def _vectors(blobs: pd.Series) -> np.ndarray:
     size = np.array([len(b) for b in blobs])
-    out = np.empty((len(blobs), PAIR_DIMS), np.int64)
-    for width, kind in ((PAIR_DIMS, np.uint8), (4 * PAIR_DIMS, "<u4")):
+    out = np.empty((len(blobs), DIMS), np.int64)
+    for width, kind in ((DIMS, np.uint8), (4 * DIMS, "<u4")):
         at = np.flatnonzero(size == width)
         if len(at):
-            out[at] = np.frombuffer(b"".join(blobs.iloc[i] for i in at), kind).reshape(-1, PAIR_DIMS)
+            out[at] = np.frombuffer(b"".join(blobs.iloc[i] for i in at), kind).reshape(-1, DIMS)
     return out
 
 
 def can_link(edges: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
-    """The edges (u, v, star) without the pairs whose summed coordinate minima stay below the needed overlap."""
+    """The edges (u, v) without those whose summed coordinate minima stay below the needed overlap."""
 
     @F.pandas_udf("boolean")
     def bounded(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -168,13 +207,29 @@ def can_link(edges: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
         return pd.Series(np.minimum(x, y).sum(1) >= rule.overlap(x.sum(1), y.sum(1)))
 
     side = lambda name: classes.select(F.col("s1").alias(name), F.col("vector").alias(f"v{name}"))
-    pairs = edges.filter("not star").join(side("u"), "u").join(side("v"), "v").filter(bounded("vu", "vv"))
-    return edges.filter("star").select("u", "v").unionByName(pairs.select("u", "v"))
+    return edges.join(side("u"), "u").join(side("v"), "v").filter(bounded("vu", "vv")).select("u", "v")
+
+
+def shared_keys(docs: DataFrame, rule: Rule, buckets: int) -> DataFrame:
+    """Rows (k, u, v) for each key k of two classes or more: every class v of the key, beside a class u of the key.
+
+    u is the least class of the key, or one of those of a task's flush for keys that it has for
+    more than LOCAL classes; the ones of the flushes stand beside the least of all. So a
+    bucket holds a bounded number of entries of a key for each flush, and the rows of a key
+    connect its classes.
+    """
 
+    def of(k: np.ndarray) -> np.ndarray:
+        """Bucket of each key: a range of keys, so that sorted keys come by buckets."""
+        return (((k >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
 
-def key_links(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Edges (u, v, star) between first digests of classes that share a key: all pairs of a small key, else a star."""
-    n = T.width(docs.sparkSession, 2)
+    def packed(bucket: np.ndarray, *columns: np.ndarray) -> list[list]:
+        """The sorted buckets, and the bytes of each column in each of them."""
+        if not len(bucket):
+            return [[] for _ in range(len(columns) + 1)]
+        begin = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        cut = list(zip(begin, np.append(begin[1:], len(bucket)), strict=True))
+        return [bucket[begin].tolist(), *([c[i:j].tobytes() for i, j in cut] for c in columns)]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_k: list[np.ndarray] = []
@@ -185,12 +240,19 @@ def key_links(docs: DataFrame, rule: Rule) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             k, s = np.concatenate(held_k), np.concatenate(held_s)
-            bucket = (k % np.uint64(n)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            begin = np.flatnonzero(np.append(True, bucket[order][1:] != bucket[order][:-1]))
-            cut = list(zip(begin, np.append(begin[1:], len(order)), strict=True))
+            order = np.argsort(k)
             k, s = k[order], s[order]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[order][begin], pa.int32()), pa.array([k[i:j].tobytes() for i, j in cut], pa.binary()), pa.array([s[i:j].tobytes() for i, j in cut], pa.binary())], ["b", "k", "s"])
+            begin = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+            count = np.diff(np.append(begin, len(k)))
+            many = np.repeat(count > LOCAL, count)
+            send = ~many
+            send[begin] = True
+            b, keys_, names = packed(of(k[send]), k[send], s[send])
+            star_k, star_v, star_u = k[many], s[many], np.repeat(s[begin], count)[many]
+            spread = of(T.mix(star_v.view(np.uint64)))
+            by = np.argsort(spread, kind="stable")
+            at, star_k, star_v, star_u = packed(spread[by], star_k[by], star_v[by], star_u[by])
+            yield pa.RecordBatch.from_arrays([pa.array(b + at, pa.int32()), pa.array(keys_ + star_k, pa.binary()), pa.array(names + star_v, pa.binary()), pa.array([None] * len(b) + star_u, pa.binary())], ["b", "k", "s", "u"])
 
         for whole in batches:
             for b in T.slices(whole):
@@ -216,28 +278,21 @@ def key_links(docs: DataFrame, rule: Rule) -> DataFrame:
             yield from flush()
 
     def meet(t: pa.Table) -> pa.Table:
-        k = np.frombuffer(b"".join(x.as_py() for x in t.column("k")), np.uint64)
-        s = np.frombuffer(b"".join(x.as_py() for x in t.column("s")), np.int64)
+        read = lambda name, kind, rows: np.frombuffer(b"".join(rows.column(name).to_pylist()), kind)
+        stars, plain = t.filter(pc.is_valid(t.column("u"))), t.filter(pc.is_null(t.column("u")))
+        k, s = read("k", np.uint64, plain), read("s", np.int64, plain)
         order = np.lexsort((s, k))
         k, s = k[order], s[order]
-        fresh = np.append(True, (k[1:] != k[:-1]) | (s[1:] != s[:-1]))
+        fresh = np.ones(len(k), bool)
+        fresh[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
         k, s = k[fresh], s[fresh]
-        begin = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        begin = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.empty(0, np.int64)
         count = np.diff(np.append(begin, len(k)))
-        edges = [np.empty((0, 3), np.int64)]
-        for size in range(2, PAIRS_OF + 1):
-            i, j = np.triu_indices(size, 1)
-            at = begin[count == size][:, None]
-            edges.append(np.stack([s[at + i].ravel(), s[at + j].ravel(), np.zeros(len(at) * len(i), np.int64)], axis=1))
-        large = np.repeat(count > PAIRS_OF, count)
-        least = np.repeat(s[begin], count)
-        star = large & (s != least)
-        edges.append(np.stack([least[star], s[star], np.ones(int(star.sum()), np.int64)], axis=1))
-        edge = np.unique(np.concatenate(edges), axis=0)
-        return pa.table({"u": pa.array(edge[:, 0], pa.int64()), "v": pa.array(edge[:, 1], pa.int64()), "star": pa.array(edge[:, 2] == 1)})
-
-    packed = docs.select("text").mapInArrow(gather, "b int, k binary, s binary")
-    return packed.groupBy("b").applyInArrow(meet, "u long, v long, star boolean").groupBy("u", "v").agg(F.max("star").alias("star"))
+        common = np.repeat(count > 1, count)
+        out = [(k[common], np.repeat(s[begin], count)[common], s[common]), (read("k", np.uint64, stars), read("u", np.int64, stars), read("s", np.int64, stars))]
+        return pa.table({name: pa.array(np.concatenate(x).view(np.int64)) for name, x in zip(("k", "u", "v"), zip(*out, strict=True), strict=True)})
+
+    return docs.select("text").mapInArrow(gather, "b int, k binary, s binary, u binary").groupBy("b").applyInArrow(meet, "k long, u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -249,6 +304,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = T.written(edges.filter("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     before = None
     while True:
+        spent = edges
         both = edges.select(F.col("u").alias("a"), F.col("v").alias("b")).union(edges.select("v", "u"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("m").alias("u"), F.col("b").alias("v")).distinct()
@@ -256,6 +312,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v").select(F.explode(F.array(F.struct(F.col("m").alias("u"), F.col("v").alias("v")), F.struct(F.col("m").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*").filter("u != v").distinct()
         edges = T.written(small)
+        T.discard(spent)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -315,42 +372,9 @@ class Tree:
             self.levels.append((np.maximum.reduceat(upper, begin), np.minimum.reduceat(least, begin)))
 
 
-def link_within(sets: list[np.ndarray], rule: Rule, other: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the sets, or between them and others (then only across).
-
-    With ``other``, those are numbered on from len(sets), and links within each side may be
-    taken for known: they are found where each side is joined with itself.
-    """
-    everything = sets + (other or [])
-    size = np.array([len(s) for s in everything])
-    points = np.stack([count_vector(s) for s in everything]).astype(np.int32)
-    union = _Union(len(everything))
-    links: list[tuple[int, int]] = []
-    left = Tree(points[: len(sets)])
-    right = Tree(points[len(sets) :]) if other is not None else left
-    shift = len(sets) if other is not None else 0
-
-    def compare(a: np.ndarray, b: np.ndarray, same: bool) -> None:
-        roots_a, roots_b = [union.root(i) for i in a], [union.root(j) for j in b]
-        if len({*roots_a, *roots_b}) == 1:
-            return
-        bound = np.minimum(points[a][:, None], points[b][None]).sum(2)
-        need = rule.overlap(size[a][:, None], size[b][None])
-        ok = (bound >= need) & (need <= np.minimum(size[a][:, None], size[b][None]))
-        if same:
-            ok &= a[:, None] < b[None]
-        for x, y in np.argwhere(ok).tolist():
-            i, j = int(a[x]), int(b[y])
-            if union.root(i) == union.root(j):
-                continue
-            s, t = everything[i], everything[j]
-            at = np.searchsorted(t, s)
-            at[at == len(t)] = 0
-            if int((t[at] == s).sum()) >= int(need[x, y]):
-                union.join(i, j)
-                links.append((i, j))
-
-    # pairs of nodes, from the roots down
+def _walk(left: Tree, right: Tree | None, rule: Rule) -> list[tuple[int, int]]:
+    """Pairs of leaves of two trees (or of one) whose sets may reach the needed overlap: from the roots down, near ones first."""
+    same, right = right is None, right or left
     level_a, level_b = len(left.levels) - 1, len(right.levels) - 1
     pairs = np.array([[0, 0]])
     while True:
@@ -377,56 +401,180 @@ def link_within(sets: list[np.ndarray], rule: Rule, other: list[np.ndarray] | No
         owner = np.repeat(np.arange(len(pairs)), total)
         k = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
         pairs = np.stack([fa[owner] + k // nb[owner], fb[owner] + k % nb[owner]], axis=1)
-        if other is None:
+        if same:
             pairs = pairs[pairs[:, 0] <= pairs[:, 1]]
         level_a, level_b = max(0, level_a - 1), max(0, level_b - 1)
-    near = np.argsort(np.abs(pairs[:, 0] - pairs[:, 1]), kind="stable")  # close leaves first: they connect most
-    for x, y in pairs[near].tolist():
-        compare(left.leaves[x], right.leaves[y] + shift, other is None and x == y)
+    near = np.argsort(np.abs(pairs[:, 0] - pairs[:, 1]), kind="stable")  # close leaves connect most
+    return [(int(x), int(y)) for x, y in pairs[near]]
+
+
+def forest(points: np.ndarray, rule: Rule, label: np.ndarray, split: int | None = None, check: Callable[[int, int, int], bool] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of points with different labels that the bound admits.
+
+    With ``check`` (of two places and the needed overlap) only pairs that pass it count, and
+    points of one label are connected beforehand. With ``split`` only pairs across that
+    place are looked at: those within each side are another task's.
+    """
+    points = points.astype(np.int32)
+    size = points.sum(1)
+    union = _Union(len(points))
+    if check:
+        first: dict[int, int] = {}
+        for i, x in enumerate(label.tolist()):
+            union.join(first.setdefault(x, i), i)
+    left = Tree(points[:split])
+    right, shift = (None, 0) if split is None else (Tree(points[split:]), split)
+    links: list[tuple[int, int]] = []
+    for x, y in _walk(left, right, rule):
+        a, b = left.leaves[x], (right or left).leaves[y] + shift
+        if len({union.root(i) for i in (*a, *b)}) == 1:
+            continue
+        need = rule.overlap(size[a][:, None], size[b][None])
+        ok = (label[a][:, None] != label[b][None]) & (np.minimum(points[a][:, None], points[b][None]).sum(2) >= need)
+        if right is None and x == y:
+            ok &= a[:, None] < b[None]
+        for p, q in np.argwhere(ok).tolist():
+            i, j = int(a[p]), int(b[q])
+            if union.root(i) != union.root(j) and (check is None or check(i, j, int(need[p, q]))):
+                union.join(i, j)
+                links.append((i, j))
     return links
 
 
+def overlap_of(s: np.ndarray, t: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    at = np.searchsorted(t, s)
+    at[at == len(t)] = 0
+    return int((t[at] == s).sum()) if len(t) else 0
+
+
+def link_within(sets: list[np.ndarray], rule: Rule, label: np.ndarray | None = None, split: int | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among the sets, or of those across a place; sets of one label count as linked."""
+    label = np.arange(len(sets)) if label is None else label
+    return forest(np.stack([count_vector(s) for s in sets]), rule, label, split, lambda i, j, need: overlap_of(sets[i], sets[j]) >= need)
+
+
 # --- the join ----------------------------------------------------------------------------
 
 
-def block_links(texts: DataFrame, rule: Rule) -> DataFrame:
-    """Links (u, v) of classes within each task's rows (task, side, s1, text): side 0 with itself, or 0 with 1 where both are there."""
+def dealt(rows: DataFrame, group: str, most: int, of: str = "v") -> DataFrame:
+    """The rows with ``part`` and ``side``: a group of up to ``most`` is one part, in a larger one each pair of its chunks is a part of sides 0 and 1."""
+    large = T.written(rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most).select(group, F.ceil(F.col("_n") / most).cast("int").alias("_chunks")))
+    rows = rows.join(large, group, "left").withColumn("_chunks", F.coalesce("_chunks", F.lit(1)))  # a written table has a known size: broadcast if small, else shuffled
+    rows = rows.withColumn("_chunk", F.pmod(F.xxhash64(of), F.col("_chunks")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("_chunks") - 1), lambda k: F.struct(F.least(k, F.col("_chunk")).alias("i"), F.greatest(k, F.col("_chunk")).alias("j"), (k < F.col("_chunk")).cast("int").alias("side")))
+    rows = rows.withColumn("_p", F.explode(pairs))
+    return rows.withColumn("part", F.xxhash64(group, "_p.i", "_p.j")).withColumn("side", F.col("_p.side")).drop("_p", "_chunk", "_chunks")
+
 
-    def join(t: pa.Table) -> pa.Table:
-        sides: tuple[list, list] = ([], [])
-        names: tuple[list[int], list[int]] = ([], [])
-        t = t.sort_by([("side", "ascending"), ("s1", "ascending")])
-        for b in t.to_batches():
-            for s in T.slices(b):
-                for side, name, x in zip(s.column("side").to_pylist(), s.column("s1").to_pylist(), shingle_sets(s.column("text"), rule.n), strict=True):
-                    if _digest(x)[0] == name:  # not another text under the same id
-                        sides[side].append(x)
-                        names[side].append(name)
-        both = names[0] + names[1]
-        links = link_within(sides[0], rule, sides[1] if sides[1] else None) if sides[0] else []
-        return pa.table({"u": pa.array([both[i] for i, _ in links], pa.int64()), "v": pa.array([both[j] for _, j in links], pa.int64())})
+def _parts(t: pa.Table, *order: str) -> Iterator[pa.Table]:
+    """The rows of each part, in order of side and then the given columns."""
+    t = t.sort_by([(c, "ascending") for c in ("part", "side", *order)])
+    part = t.column("part").to_numpy()
+    begin = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
+    for i, j in zip(begin, [*begin[1:], len(part)], strict=True):
+        yield t.slice(i, j - i)
 
-    return texts.groupBy("task").applyInArrow(join, "u long, v long")
+
+def _split(t: pa.Table) -> int | None:
+    """Where side 1 begins, if it has rows."""
+    n = int((t.column("side").to_numpy() == 0).sum())
+    return None if n == t.num_rows else n
+
+
+def key_blocks(members: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """Edges (u, v) that connect whatever classes of different labels may link, from members (k, v, label) of keys."""
+
+    def run(t: pa.Table) -> pa.Table:
+        found = []
+        for p in _parts(t, "v"):
+            split = _split(p)
+            if split == 0:  # the other chunk is empty
+                continue
+            v, label = p.column("v").to_numpy(), p.column("label").to_numpy()
+            found += [(v[i], v[j]) for i, j in forest(_vectors(p.column("vector").to_pandas()), rule, label, split)]
+        return pa.table({"u": pa.array([x for x, _ in found], pa.int64()), "v": pa.array([x for _, x in found], pa.int64())})
+
+    rows = dealt(members, "k", KEY_ROWS).join(classes.select(F.col("s1").alias("v"), "vector"), "v")
+    buckets = max(T.width(members.sparkSession), math.ceil(members.count() / KEY_ROWS))
+    return rows.select(F.pmod("part", F.lit(buckets)).alias("b"), "part", "side", "v", "label", "vector").groupBy("b").applyInArrow(run, "u long, v long")
+
+
+def verified(docs: DataFrame, rows: DataFrame, classes: DataFrame, rule: Rule, stars: bool) -> DataFrame:
+    """Links (u, v) among the texts of the rows (part, side, v, label): in a star of the one of side 0 with those of side 1, else of all labels in a part."""
+    total = rows.join(classes.select(F.col("s1").alias("v"), "n"), "v").agg(F.sum("n")).first()[0] or 0
+    buckets = max(T.width(docs.sparkSession), math.ceil(total / TASK_SHINGLES))
+
+    def run(t: pa.Table) -> pa.Table:
+        found = []
+        for p in _parts(t, "v"):
+            side, name, label, sets = [], [], [], []
+            for b in p.to_batches():
+                for s in T.slices(b):
+                    for x, d, v, m in zip(shingle_sets(s.column("text"), rule.n), s.column("side").to_pylist(), s.column("v").to_pylist(), s.column("label").to_pylist(), strict=True):
+                        if len(x) and _digest(x)[0] == v and (not name or (name[-1], side[-1]) != (v, d)):  # not another text under the same id, nor a copy
+                            side.append(d)
+                            name.append(v)
+                            label.append(m)
+                            sets.append(x)
+            first = side.count(0)
+            if not first or len(sets) < 2:
+                continue
+            if stars:
+                links = [(0, j) for j in range(1, len(sets)) if overlap_of(sets[0], sets[j]) >= rule.overlap(len(sets[0]), len(sets[j]))]
+            else:
+                links = link_within(sets, rule, np.array(label), None if first == len(sets) else first)
+            found += [(name[i], name[j]) for i, j in links]
+        return pa.table({"u": pa.array([x for x, _ in found], pa.int64()), "v": pa.array([x for _, x in found], pa.int64())})
+
+    named = rows.join(classes.select(F.col("s1").alias("v"), F.col("least").alias("doc_id")), "v").select(F.pmod("part", F.lit(buckets)).alias("b"), "part", "side", "v", "label", "doc_id")
+    texts = docs.filter("text is not null").select("doc_id", "text").join(named.hint("shuffle_hash"), "doc_id")
+    return texts.select("b", "part", "side", "v", "label", "text").groupBy("b").applyInArrow(run, "u long, v long")
+
+
+def star_links(docs: DataFrame, edges: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """Those of the edges (u, v) that are links; each u is compared with its own, STAR_ROWS at a time."""
+    sizes = edges.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / STAR_ROWS).cast("int").alias("chunks"))
+    part = F.xxhash64("u", "chunk").alias("part")
+    spokes = edges.join(sizes, "u").withColumn("chunk", F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int")).select(part, F.lit(1).alias("side"), "v")
+    hubs = sizes.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(part, F.lit(0).alias("side"), F.col("u").alias("v"))
+    return verified(docs, T.written(spokes.union(hubs).withColumn("label", F.col("v"))), classes, rule, stars=True)
+
+
+def linked_classes(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """(s1, root) of every class that has a link."""
+    entries = 16 * (classes.agg(F.sum("n")).first()[0] or 0)  # a set has about a third of its size in keys, and up to twice that near a border
+    keyed = T.written(shared_keys(docs, rule, max(T.width(docs.sparkSession, 2), math.ceil(0.6 * entries / BUCKET_BYTES))))
+
+    edges = keyed.filter("u != v").select("u", "v").distinct()
+    first = T.written(star_links(docs, T.written(can_link(edges, classes, rule)), classes, rule))
+    roots = T.written(components(first))
+
+    # keys whose classes the first links leave in several components
+    labelled = keyed.select("k", "v").distinct().join(roots.withColumnRenamed("node", "v"), "v", "left").select("k", "v", F.coalesce("root", "v").alias("label"))
+    labelled = T.written(labelled)
+    still = labelled.groupBy("k").agg(F.min("label").alias("a"), F.max("label").alias("z"), F.count(F.lit(1)).alias("c")).filter("a != z and c > 2").select("k")
+    apart = T.written(labelled.join(still, "k"))
+    T.discard(keyed)
+    T.discard(labelled)
+    if apart.isEmpty():
+        return roots.withColumnRenamed("node", "s1")
+    blocks = components(key_blocks(apart, classes, rule))
+    rows = T.written(dealt(blocks.withColumnRenamed("node", "v").withColumnRenamed("root", "block").join(apart.select("v", "label").distinct(), "v"), "block", BLOCK_ROWS).select("part", "side", "v", "label"))
+    second = T.written(verified(docs, rows, classes, rule, stars=False))
+    if second.isEmpty():
+        return roots.withColumnRenamed("node", "s1")
+    return components(first.union(second)).withColumnRenamed("node", "s1")
 
 
 def _grouped(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """The rows as ``classed`` gives them, and the classes: s1, s2, least (doc_id), component_id, and whether the class is the first of its component."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     members = T.written(classed(docs, rule))
-    classes = members.filter("s1 is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.min("vector").alias("vector"))
-    blocks = components(can_link(T.written(key_links(docs, rule)), classes, rule))
-    classes = classes.drop("vector")
-    wanted = T.written(classes.join(blocks.withColumnRenamed("node", "s1"), "s1").select("s1", "least", "root"))
-
-    # chunks of large blocks; each pair of chunks is a task
-    sizes = wanted.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("chunks"))
-    dealt = wanted.join(sizes, "root").withColumn("chunk", F.pmod(F.xxhash64("s1"), F.col("chunks")).cast("int"))
-    others = F.sequence(F.lit(0), F.col("chunks") - 1)
-    pairs = F.transform(others, lambda k: F.struct(F.least(k, F.col("chunk")).alias("i"), F.greatest(k, F.col("chunk")).alias("j"), (k < F.col("chunk")).cast("int").alias("side")))
-    tasks = dealt.select("s1", "least", "root", F.explode(pairs).alias("p")).select("s1", "least", F.struct("root", "p.i", "p.j").alias("task"), "p.side")
-    texts = docs.join(tasks.withColumnRenamed("least", "doc_id").hint("shuffle_hash"), "doc_id").select("task", "side", "s1", "text").filter("text is not null")
-    linked = components(block_links(texts, rule)).withColumnRenamed("node", "s1")
-
+    found = members.filter("s1 is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.min("vector").alias("vector"), F.min("n_shingles").alias("n"))
+    classes = T.written(found)
+    linked = linked_classes(docs, classes, rule)
+    classes = classes.select("s1", "s2", "least")
     top = classes.join(linked, "s1").groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "s1")).alias("top"))
     named = linked.join(top, "root").select("s1", F.col("top.least").alias("component"), (F.col("s1") == F.col("top.s1")).alias("first"))
     final = classes.join(named, "s1", "left").select("s1", "s2", "least", F.coalesce("component", "least").alias("component_id"), F.coalesce("first", F.lit(True)).alias("first"))
@@ -436,8 +584,8 @@ def _grouped(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
 def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
     """doc_id, n_shingles and component_id of every document (the least doc_id that links lead to)."""
     members, final = _grouped(docs, rule)
-    final = final.select("s1", "s2", "component_id")
-    return members.join(final, ["s1", "s2"], "left").select("doc_id", "n_shingles", F.when(F.col("s1").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    sets = members.filter("s1 is not null").join(final.select("s1", "s2", "component_id"), ["s1", "s2"], "left").select("doc_id", "n_shingles", "component_id")
+    return sets.unionByName(members.filter("s1 is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def _with_digests(docs: DataFrame, rule: Rule) -> DataFrame:

@@ -7,6 +7,7 @@ Equal byte sequences always hash alike; different ones collide with a chance nea
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -152,13 +153,19 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = 4 * CHUNK_BY
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder under the cluster's checkpoint folder, for tables that cut lineage.
 
-    The folder is ``spark.checkpoint.dir``; only where the session has none (local tests) is
-    a folder under /tmp used.
+    The folder is ``spark.checkpoint.dir``, or the one set on the context. Where there is
+    neither, a local session (tests) uses the temp folder; a cluster would lose what it wrote
+    there, so that is an error.
     """
     import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/waneline-checkpoints"
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share.")
+        root = f"file://{tempfile.gettempdir()}/waneline-checkpoints"
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -166,7 +173,16 @@ def written(df: DataFrame) -> DataFrame:
     """The same rows, written as Parquet to the shared folder and read back: cuts lineage."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``written`` wrote of a table that nothing reads any more."""
+    path, jvm = df._written_to, df.sparkSession._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
