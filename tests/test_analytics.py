@@ -66,9 +66,55 @@ def test_breaks_find_a_planted_shift(spark):
         breaks.find_break(df, trim=0.3)
 
 
-def test_null_distribution_is_near_the_published_critical_values():
-    q = dict(zip(stats.SUP_WALD_LEVELS, stats.sup_wald_quantiles(0.15), strict=True))
-    assert q[0.9] == pytest.approx(7.20, abs=0.25) and q[0.95] == pytest.approx(8.76, abs=0.3) and q[0.99] == pytest.approx(12.28, abs=0.6)
+def test_null_distribution_has_the_published_critical_values():
+    at = lambda steps: [dict(zip(stats.SUP_WALD_LEVELS, stats.sup_wald_quantiles(0.15, steps), strict=True))[x] for x in (0.9, 0.95, 0.99)]
+    assert at(5000) == pytest.approx([7.20, 8.76, 12.28], abs=0.02)
+    assert at(None) == pytest.approx([7.30, 8.86, 12.40], abs=0.01)
+
+
+@pytest.mark.parametrize("trim", stats.SUP_WALD_TRIMS)
+def test_null_distribution_matches_a_simulation(trim):
+    """Walks of 500 steps, drawn here: the computed levels lie within the simulation's error."""
+    steps, reps = 500, 40_000
+    rng, p = np.random.default_rng(17), np.arange(1, steps + 1) / steps
+    inside = (p >= trim - 1e-12) & (p <= 1 - trim + 1e-12)
+    top = []
+    for _ in range(reps // 4000):
+        walk = rng.standard_normal((4000, steps)).cumsum(1) / math.sqrt(steps)
+        bridge = (walk - p * walk[:, -1:])[:, inside]
+        top.append((bridge**2 / (p * (1 - p))[inside]).max(1))
+    q = dict(zip(stats.SUP_WALD_LEVELS, stats.sup_wald_quantiles(trim, steps), strict=True))
+    for level in (0.25, 0.5, 0.9, 0.95):
+        share = (np.concatenate(top) <= q[level]).mean()
+        assert abs(share - level) < 5 * math.sqrt(level * (1 - level) / reps) + 0.004
+
+
+def test_decay_search_finds_the_least_error_of_a_fine_scan():
+    rng, t = np.random.default_rng(12), np.cumsum(rng_steps := np.random.default_rng(13).integers(20, 40, 200)) / 365.25
+    t = t - t[0]
+    y = np.stack([np.exp(-t / k) + rng.normal(0, 0.3, len(t)) for k in np.linspace(0.3, 30, 60)] + [rng.normal(0, 1, len(t)) for _ in range(20)])
+    f = decay.Profile(t)
+    assert len(rng_steps) == len(t) and len(f.rates) == 221 and (np.diff(f.rates) > 0).all() and f.rates[60] == 0
+    assert f.rates[-1] == pytest.approx(math.log(2) / max(t[-1] / 100, 3 * np.median(np.diff(t)))) and f.rates[0] == pytest.approx(-math.log(100) / t[-1]) and f.rates[61] == pytest.approx(f.rates[-1] * 1e-5)
+    rate, level, sse = f.fit(y)
+    e = np.exp(-np.outer(f.rates, t))
+    on_mesh = (y * y).sum(1)[:, None] - (y @ e.T) ** 2 / (e * e).sum(1)
+    assert (sse <= on_mesh.min(1) + 1e-9).all()
+    for v, r, a, s in zip(y, rate, level, sse, strict=True):
+        assert s == pytest.approx(((v - a * np.exp(-r * t)) ** 2).sum())
+        if f.rates[0] < r < f.rates[-1]:
+            near = np.exp(-np.outer(r + np.linspace(-1e-3, 1e-3, 41), t))
+            assert s <= ((v * v).sum() - (near @ v) ** 2 / (near * near).sum(1)).min() + 1e-9
+
+
+def test_block_draws_are_blocks_spread_evenly():
+    d = decay.block_draws(103, 8, np.arange(4000), decay.stream("s", 0))
+    assert d.shape == (4000, 103) and d.min() == 0 and d.max() == 102
+    assert (np.diff(d.reshape(4000, -1)[:, :96].reshape(4000, 12, 8), axis=2) == 1).all()
+    seen = np.bincount(d[:, ::8].ravel(), minlength=96)[:96]
+    assert ((seen - seen.mean()) ** 2 / seen.mean()).sum() < 150  # chi-squared with 95 degrees
+    assert (decay.block_draws(103, 8, np.arange(10, 20), 5) == decay.block_draws(103, 8, np.arange(4000), 5)[10:20]).all()
+    assert [decay.block_length(n) for n in (1, 20, 79, 240, 1000)] == [1, 5, 8, 11, 18] and decay.block_length(100, 30) == 30 and decay.block_length(10, 30) == 10
 
 
 def test_tail_functions(spark):

@@ -9,7 +9,7 @@ from waneline.plans import oracle, registry
 ORACLES = oracle.sql()
 TABLES = ("lineitem", "part", "events")
 #: Queries whose rows the tests compare; the driver compares the others at a larger scale.
-NAMES = ("ic_spearman", "ic_pearson", "forward_returns_3", "rolling_sharpe_m", "infer_freq", "hac_mean", "hac_ols_trend", "chow_test", "sup_wald", "cusum", "p_values", "factor_csv", "daily_values", "align_panels", "dropna_trim")
+NAMES = ("ic_spearman", "ic_pearson", "forward_returns_3", "rolling_sharpe_m", "infer_freq", "hac_mean", "hac_ols_trend", "chow_test", "sup_wald", "cusum", "p_values", "factor_csv", "daily_values", "align_panels", "dropna_trim", "decay_point", "lambda_grid_fit", "decay_boot_hash", "crowding_kfactor", "crowding_1factor")
 
 
 def rows(df: pd.DataFrame) -> list[tuple]:

@@ -13,6 +13,9 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from waneline.functions.errors import InputError
+from waneline.functions.model import need_int
+
 #: CDF levels at which the sup-Wald null distribution is tabulated: denser to the right.
 SUP_WALD_LEVELS = sorted({round(k / 100, 6) for k in range(1, 81)} | {round(0.8 + k / 500, 6) for k in range(96)} | {round(0.99 + k / 2000, 6) for k in range(19)} | {0.9995})
 SUP_WALD_TRIMS = (0.05, 0.10, 0.15, 0.20, 0.25)
@@ -25,9 +28,20 @@ def default_lags(n: Column) -> Column:
 
 
 def lags(n: Column, hac_lags: int | None, floor: Column | int = 0) -> Column:
-    """The given lags, or the default rule raised to the floor; at most n - 1."""
+    """The given lags, or the default rule raised to the floor; at most n - 1.
+
+    Given ones must be below n and cover the overlap that the floor stands for: fewer would
+    understate errors. What can be told from the arguments is an error at once, the rest in the plan.
+    """
+    if hac_lags is not None:
+        need_int("hac_lags", hac_lags, 0)
+        if isinstance(floor, int) and hac_lags < floor:
+            raise InputError(f"hac_lags must be at least {floor} to cover overlapping windows, got {hac_lags}.")
+        given, low = F.lit(hac_lags), F.lit(floor) if isinstance(floor, int) else floor
+        wrong = F.concat(F.lit(f"hac_lags = {hac_lags} must be below the number of observations, "), n.cast("string"), F.lit(", and at least the overlap, "), low.cast("string"))
+        return F.when((given >= n) | (given < low), F.raise_error(wrong).cast("int")).otherwise(given).cast("int")
     least = F.least(F.lit(floor) if isinstance(floor, int) else floor, n - 1)
-    return (F.greatest(default_lags(n), least) if hac_lags is None else F.lit(hac_lags)).cast("int")
+    return F.greatest(default_lags(n), least).cast("int")
 
 
 def bartlett(z: Column, lag: Column) -> Column:
@@ -71,20 +85,50 @@ def kolmogorov_sf(x: Column) -> Column:
     return F.when(x < 0.04, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), s)))
 
 
-def sup_wald_quantiles(trim: float, reps: int = 40_000, steps: int = 2_500, seed: int = 20_240_607) -> list[float]:
-    """Quantiles of the sup-Wald null distribution, simulated here: the largest B(p)^2 / (p (1 - p)) of a Brownian bridge."""
+def sup_wald_cdf(stat, trim: float, modes: int = 64):
+    """Chance that the sup-Wald statistic stays below each of ``stat`` under no break, without simulation.
+
+    A Brownian bridge over its deviation is, in the time ln(p / (1 - p)) / 2, a stationary
+    Ornstein-Uhlenbeck process; the statistic stays below c^2 if that process, run for
+    ln((1 - trim) / trim), never leaves (-c, c). Killed there, it decays along the even states
+    of a harmonic oscillator between walls at -c and c, found in a cosine basis.
+    """
+    import numpy as np
+
+    c = np.sqrt(np.asarray(stat, float))[:, None, None]
+    node, weight = np.polynomial.legendre.leggauss(4 * modes)
+    k = (np.arange(modes) + 0.5) * math.pi
+    shape = np.cos(np.multiply.outer(k, node))  # orthonormal on (-1, 1), zero at the ends
+    square = (shape * weight * node**2) @ shape.T
+    energy, state = np.linalg.eigh(np.eye(modes) * (k / c) ** 2 + c**2 / 4 * square - np.eye(modes) / 2)
+    x = c[:, 0] * node
+    root = np.exp(-(x**2) / 4) * (2 * math.pi) ** -0.25  # of the normal density
+    start = np.sqrt(c[:, 0]) * (root * weight) @ shape.T
+    held = np.einsum("im,imj->ij", start, state) ** 2
+    return (held * np.exp(-energy * math.log((1 - trim) / trim))).sum(1)
+
+
+#: Dates on which the tabulated statistic looks for its greatest value; published tables rest on walks of about so many.
+SUP_WALD_STEPS = 5_000
+#: Fixed value, -zeta(1/2) / sqrt(2 pi): a walk of small steps overshoots a level by this share of a step's deviation.
+OVERSHOOT = 0.5825971579390106
+
+
+def sup_wald_quantiles(trim: float, steps: int | None = SUP_WALD_STEPS) -> list[float]:
+    """Quantiles of the sup-Wald null distribution at SUP_WALD_LEVELS, for so many dates (None: without end).
+
+    Between its dates a walk goes unseen, so its greatest value falls short of the process' by
+    the mean overshoot; the deviation of a step is averaged over the process' time.
+    """
     import numpy as np
 
-    rng = np.random.default_rng(seed)
-    at = np.arange(1, steps + 1) / steps
-    inside = (at >= trim - 1e-12) & (at <= 1 - trim + 1e-12)
-    scale = at[inside] * (1 - at[inside])
-    top = np.empty(reps)
-    for k in range(0, reps, 500):
-        walk = np.cumsum(rng.standard_normal((min(500, reps - k), steps)), axis=1) / math.sqrt(steps)
-        bridge = walk[:, inside] - at[inside] * walk[:, -1:]
-        top[k : k + len(walk)] = (bridge * bridge / scale).max(axis=1)
-    return [round(float(q), 4) for q in np.quantile(top, SUP_WALD_LEVELS)]
+    grid = np.linspace(0.6, 8.0, 1500)  # roots of the statistic
+    below = np.concatenate([sup_wald_cdf(part**2, trim) for part in np.array_split(grid, 30)])
+    if steps is not None:
+        deviation = 2 * (1 - 2 * trim) / math.sqrt(trim * (1 - trim)) / math.log((1 - trim) / trim) / math.sqrt(steps)
+        grid = grid - OVERSHOOT * deviation
+    at = np.flatnonzero(np.append(True, np.diff(np.maximum.accumulate(below)) > 0))
+    return [round(float(q), 4) for q in np.interp(SUP_WALD_LEVELS, below[at], grid[at]) ** 2]
 
 
 def sup_wald_p(stat: Column, trim: float) -> Column:

@@ -1,7 +1,6 @@
-"""The tabulated null distribution of the sup-Wald statistic, simulated once and kept.
+"""The tabulated null distribution of the sup-Wald statistic, computed once in a process.
 
-The table is made by ``stats.sup_wald_quantiles`` from a fixed seed on first use in a process,
-so no numbers are stored in the source.
+No numbers are stored in the source and none are drawn: see ``stats.sup_wald_cdf``.
 """
 
 from __future__ import annotations

@@ -18,12 +18,6 @@ def calendar(panel: DataFrame) -> DataFrame:
     return panel.select("date").distinct().withColumn("i", F.row_number().over(Window.orderBy("date")) - 1)
 
 
-def indexed(df: DataFrame) -> DataFrame:
-    """Non-missing rows of each series with their position ``i`` from 0 and count ``n``."""
-    w = Window.partitionBy("series_id")
-    return df.filter(F.col("value").isNotNull()).withColumns({"i": F.row_number().over(w.orderBy("date")) - 1, "n": F.count(F.lit(1)).over(w)})
-
-
 def dropna(df: DataFrame) -> DataFrame:
     """Non-missing rows of a series table; leading and trailing gaps go silently (see ``dropped``)."""
     return df.filter(F.col("value").isNotNull())
@@ -85,7 +79,8 @@ def same_freq(a: DataFrame, b: DataFrame, names: tuple[str, str] = ("left", "rig
 
 
 def align_panels(left: DataFrame, right: DataFrame, names: tuple[str, str] = ("a", "b")) -> DataFrame:
-    """date, asset_id and both values, for dates and assets that both panels have."""
+    """date, asset_id and both values, for dates and assets that both panels have; none in common is an error."""
+    need_overlap(left, right)
     dates = left.select("date").distinct().join(right.select("date").distinct(), "date")
     assets = left.select("asset_id").distinct().join(right.select("asset_id").distinct(), "asset_id")
     both = left.withColumnRenamed("value", names[0]).join(right.withColumnRenamed("value", names[1]), ["date", "asset_id"], "full")
@@ -108,5 +103,5 @@ def excluded(left: DataFrame, right: DataFrame) -> DataFrame:
 def need_overlap(left: DataFrame, right: DataFrame) -> None:
     """An error if the panels share no date or no asset."""
     for key in ("date", "asset_id"):
-        if not left.select(key).intersect(right.select(key)).limit(1).collect():
+        if not left.select(key).distinct().join(right.select(key).distinct(), key, "left_semi").limit(1).collect():
             raise AlignmentError(f"The panels share no {key}. Check that both use the same labels.")

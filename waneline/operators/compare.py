@@ -39,6 +39,7 @@ def compare_signals(df: DataFrame, n_boot: int = 1000, alpha: float = 0.05, meth
 
     Short and constant series are left out; two usable ones are needed.
     """
+    need_two(df)
     fits = adjust(decay.fit_decay(df, n_boot, alpha, None, seed), method)
     order = Window.orderBy((~F.col("decay_detected")).cast("int"), F.when(F.col("decay_detected"), F.col("half_life_years")).otherwise(F.col("p_value")), "series_id")
     return fits.select(

@@ -2,22 +2,22 @@
 
 Everything is keyed by formation date and leg. A formation date's window is the positions of
 its last ``window`` return dates, so returns meet memberships in an equi-join on those positions.
-Without factors, or with one, residuals come from window sums; with several, each leg's window
-is solved in one Arrow batch of its own.
+Residuals come from window sums, for any number of factors: returns and the factors left are
+freed of one factor after the other, which is least squares on all of them.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waneline.functions import model, stats
-from waneline.functions.errors import AlignmentError, InputError
+from waneline.functions.errors import AlignmentError, FrequencyError, InputError
 from waneline.operators import align, breaks, panel
 
 LEG = ["formation_date", "leg"]
+#: Share of a factor's sum of squares below which it counts as a combination of others.
+DEPENDENT = 1e-12
 
 
 def membership(df: DataFrame) -> DataFrame:
@@ -50,24 +50,23 @@ def _cells(returns: DataFrame, members: DataFrame, window: int, min_obs: int) ->
 
 
 def _residuals(cells: DataFrame, factors: DataFrame | None, names: list[str]) -> DataFrame:
-    """Adds ``e``: residual of each member's return on a constant and the factors, over its own rows."""
+    """Adds ``e``: residual of each member's return on a constant and the factors, over its own rows.
+
+    A factor that the ones before it explain all but DEPENDENT of takes no part.
+    """
     w = Window.partitionBy(*LEG, "asset_id")
+    freed = lambda c: F.col(c) - F.avg(c).over(w)
     if not names:
-        return cells.withColumn("e", F.col("r") - F.avg("r").over(w))
-    cells = cells.join(factors, "date")
-    if len(names) == 1:
-        x = F.col(names[0])
-        cells = cells.withColumns({"_x": x - F.avg(x).over(w), "_y": F.col("r") - F.avg("r").over(w)})
-        beta = F.sum(F.col("_x") * F.col("_y")).over(w) / F.nullif(F.sum(F.col("_x") * F.col("_x")).over(w), F.lit(0.0))
-        return cells.withColumn("e", F.col("_y") - F.coalesce(beta, F.lit(0.0)) * F.col("_x")).drop("_x", "_y", *names)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.column_stack([np.ones(len(pdf)), pdf[names].to_numpy(float)])
-        y = pdf["r"].to_numpy(float)
-        pdf["e"] = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
-        return pdf[["formation_date", "leg", "asset_id", "date", "r", "e"]]
-
-    return cells.groupBy(*LEG, "asset_id").applyInPandas(solve, "formation_date date, leg string, asset_id string, date date, r double, e double")
+        return cells.withColumn("e", freed("r"))
+    xs = [f"_x{k}" for k in range(len(names))]
+    cells = cells.join(factors.select("date", *[F.col(c).alias(x) for c, x in zip(names, xs, strict=True)]), "date")
+    cells = cells.withColumns({"e": freed("r"), **{x: freed(x) for x in xs}})
+    cells = cells.withColumns({f"{x}s": F.sum(F.col(x) * F.col(x)).over(w) for x in xs})  # sums of squares to begin with
+    for k, x in enumerate(xs):
+        own = F.sum(F.col(x) * F.col(x)).over(w)
+        share = lambda c, x=x, own=own: F.when(own > DEPENDENT * F.col(f"{x}s"), F.sum(F.col(x) * F.col(c)).over(w) / own).otherwise(0.0)
+        cells = cells.withColumns({c: F.col(c) - share(c) * F.col(x) for c in ["e", *xs[k + 1 :]]})
+    return cells.drop(*xs, *(f"{x}s" for x in xs))
 
 
 def _pair_correlations(e: DataFrame) -> DataFrame:
@@ -104,8 +103,13 @@ def crowding_score(returns: DataFrame, members: DataFrame, factors: DataFrame |
     members = membership(members)
     names: list[str] = []
     if factors is not None:
-        if returns.select("date").distinct().join(factors, "date", "left_anti").limit(1).collect():
-            raise AlignmentError("factors must cover every return date.")
+        values = [c for c in factors.columns if c != "date"]
+        gaps = returns.select("date").distinct().join(factors.withColumn("_there", F.lit(True)), "date", "left").filter(" or ".join(f"`{c}` is null" for c in ["_there", *values]))
+        if gaps.limit(1).collect():
+            raise AlignmentError("factors must cover every return date, without missing values.")
+        freqs = {r["series_id"]: r["freq"] for name, df in (("returns", returns), ("factors", factors)) for r in align.infer_freq(df.select(F.lit(name).alias("series_id"), F.col("date").cast("date").alias("date"))).collect()}
+        if None not in freqs.values() and len(set(freqs.values())) > 1:
+            raise FrequencyError(f"returns are {freqs['returns']} and factors {freqs['factors']}; resample one of them.")
         rf = [c for c in factors.columns if c.lower() == "rf"]
         names = [c for c in factors.columns if c != "date" and c not in rf]
         factors = factors.select(F.col("date").cast("date").alias("date"), *[F.col(c).cast("double").alias(c) for c in [*names, *rf]])

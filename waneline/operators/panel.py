@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waneline.functions import model
-from waneline.functions.errors import AlignmentError, InputError
+from waneline.functions.errors import AlignmentError, FrequencyError, InputError, InsufficientDataError
 from waneline.operators import align
 
 
 def _no_loss_beyond_all(panel: DataFrame) -> None:
+    model.need_unique_cells(panel)
     if panel.filter(F.col("value") < -1).limit(1).collect():
         raise InputError("returns has values below -1. Simple returns as decimals are needed; convert log returns or percents first.")
 
@@ -58,16 +59,19 @@ def correlations(df: DataFrame, keys: list[str], x: str, y: str, least: int, flo
     return sums.select(*keys, "n", F.when((F.col("n") >= least) & spread, r).alias("corr"))
 
 
-def ic_series(signal: DataFrame, fwd: DataFrame, method: str = "spearman", min_assets: int = 5, keys: tuple[str, ...] = ()) -> DataFrame:
+def ic_series(signal: DataFrame, fwd: DataFrame, method: str = "spearman", min_assets: int = 5, keys: tuple[str, ...] = (), check: bool = True) -> DataFrame:
     """Correlation across assets of signal and forward return on each date that both panels have.
 
     Columns: keys, date, value, n. Ranks are taken over complete cells only. A date without a
     usable correlation stays as a row with a null value. ``keys`` are further columns of
     ``fwd`` (such as a horizon) for each of which the whole series is computed in the same plan.
+    Panels without a common date or asset are an error (``check``).
     """
     model.need_choice("method", method, ("spearman", "pearson"))
     model.need_int("min_assets", min_assets, 2)
     by = [*keys, "date"]
+    if check:
+        align.need_overlap(signal, fwd)
     pairs = signal.filter("value is not null").withColumnRenamed("value", "s").join(fwd.filter("value is not null").withColumnRenamed("value", "f"), ["date", "asset_id"])
     x, y = "s", "f"
     if method == "spearman":
@@ -99,11 +103,21 @@ def rolling_mean(df: DataFrame, window: int, min_periods: int | None = None) ->
 
 
 def rolling_ic(signal: DataFrame, fwd: DataFrame, window: int = 36, method: str = "spearman", min_assets: int = 5, min_periods: int | None = None, freq: str | None = None) -> DataFrame:
-    """Rolling mean of the information coefficient, as a series named ``rolling_ic``."""
+    """Rolling mean of the information coefficient, as a series named ``rolling_ic``.
+
+    Fewer usable coefficients than ``min_periods`` are an error, and dates that are regular but
+    not of the given ``freq``.
+    """
     ic = ic_series(signal, fwd, method, min_assets).select(F.lit("rolling_ic").alias("series_id"), "date", "value")
     if freq is not None:
-        model.parse_freq(freq)
-    return rolling_mean(ic, window, min_periods)
+        found, want = align.infer_freq(ic).first(), model.parse_freq(freq)
+        if found is not None and found["freq"] not in (None, want):
+            raise FrequencyError(f"The dates look like {found['freq']}, not {want}.")
+    out = rolling_mean(ic, window, min_periods)
+    least = window if min_periods is None else min_periods
+    if ic.filter("value is not null").limit(least).count() < least:
+        raise InsufficientDataError(f"Fewer than {least} dates have an information coefficient.")
+    return out
 
 
 def rolling_sharpe(df: DataFrame, window: int = 252, freq: str | None = None, rf: float | DataFrame = 0.0, min_periods: int | None = None) -> DataFrame:

@@ -168,10 +168,36 @@ gf AS (SELECT *, {_profile("rate")} AS sse, list_sum(list_transform(list_zip(ys,
   list_sum(list_transform(list_zip(ys, ts), lambda q: power(q[1] - b0 - b1 * q[2], 2))) AS ssl, list_sum(list_transform(ys, lambda q: power(q - my, 2))) AS sst FROM gx)"""
 
 
-def crowd(method: str, one_factor: bool = False) -> str:
-    """Crowding scores by joins: windows of 52 weeks, 26 returns and 5 stocks at least."""
+def _mixed(x: str) -> str:
+    """32-bit scramble of a whole number: three shifts and two products."""
+    once = "(xor(a, a >> 16) * 73244475 % 4294967296)"
+    return f"[xor(a, a >> 16) FOR a IN [{once} FOR a IN [{once} FOR a IN [{x}]]]][1]"
+
+
+BOOT = f"""WITH {SUPPLIERS}, {INDEX},
+tt AS (SELECT series_id, i, n, value, date_diff('day', min(date) OVER (PARTITION BY series_id), date) / 365.25e0 AS t, min(value) OVER (PARTITION BY series_id) AS lo, max(value) OVER (PARTITION BY series_id) AS hi FROM x),
+ln AS (SELECT series_id, any_value(n) AS n, regr_slope(value, t) AS slope, avg(t) AS mt, avg(value) AS my, regr_sxx(value, t) AS sxx,
+  least(any_value(n), greatest(1, CAST(round_even(1.75 * cbrt(any_value(n)), 0) AS BIGINT))) AS block, CAST('0x' || substr(md5('0:' || series_id), 1, 8) AS BIGINT) AS key FROM tt WHERE n >= 20 AND hi > lo GROUP BY 1),
+re AS (SELECT series_id, i, t - mt AS c, value - my - slope * (t - mt) AS u FROM tt JOIN ln USING (series_id)),
+bl AS (SELECT series_id, n, block, d, b, ({_mixed("xor(" + _mixed("xor(key, d * 40503 % 4294967296)") + ", b * 60493 % 4294967296)")} * (n - block + 1)) >> 32 AS first
+  FROM ln, range(0, 100) AS q(d), range(0, 400) AS p(b) WHERE b * block < n),
+dr AS (SELECT series_id, d, b * block + k AS i, first + k AS j FROM bl, range(0, 400) AS o(k) WHERE k < block AND b * block + k < n),
+sl AS (SELECT series_id, d, any_value(slope) + sum(a.c * z.u) / any_value(sxx) AS s FROM dr JOIN re a USING (series_id, i) JOIN re z ON z.series_id = dr.series_id AND z.i = dr.j JOIN ln USING (series_id) GROUP BY 1, 2)
+SELECT series_id, {r("any_value(slope)", 5)} AS slope, {r("quantile_cont(s, 0.025)", 5)} AS slope_lo, {r("quantile_cont(s, 0.975)", 5)} AS slope_hi FROM sl JOIN ln USING (series_id) GROUP BY 1"""
+
+
+def crowd(method: str, n_factors: int = 0) -> str:
+    """Crowding scores by joins: windows of 52 weeks, 26 returns and 5 stocks at least. Three factors go by Cramer's rule."""
     resid = "value - avg(value) OVER w AS e"
-    if one_factor:
+    if n_factors == 3:
+        cov = lambda a, b: f"covar_pop({a}, {b}) OVER w"
+        x = ["mkt", "odd", "hi"]
+        m = [[cov(a, b) for b in x] for a in x]
+        det = lambda q: f"({q[0][0]} * ({q[1][1]} * {q[2][2]} - {q[1][2]} * {q[2][1]}) - {q[0][1]} * ({q[1][0]} * {q[2][2]} - {q[1][2]} * {q[2][0]}) + {q[0][2]} * ({q[1][0]} * {q[2][1]} - {q[1][1]} * {q[2][0]}))"
+        swapped = lambda j: [[cov("value", a) if k == j else m[i][k] for k in range(3)] for i, a in enumerate(x)]
+        fitted = " - ".join(f"{det(swapped(j))} / {det(m)} * ({a} - avg({a}) OVER w)" for j, a in enumerate(x))
+        resid = f"value - avg(value) OVER w - {fitted} AS e"
+    if n_factors == 1:
         resid = "value - avg(value) OVER w - regr_slope(value, mkt) OVER w * (mkt - avg(mkt) OVER w) AS e"
     if method == "pairwise":
         pair = "cr AS (SELECT a.f, a.leg, a.asset_id AS x, b.asset_id AS y, corr(a.e, b.e) AS c FROM re a JOIN re b ON a.f = b.f AND a.leg = b.leg AND a.date = b.date AND a.asset_id < b.asset_id GROUP BY ALL HAVING count(*) >= 3)"
@@ -180,9 +206,10 @@ def crowd(method: str, one_factor: bool = False) -> str:
 cr AS (SELECT f, leg, asset_id, corr(e, o) AS c FROM ot GROUP BY 1, 2, 3 HAVING count(*) >= 3)"""
     return f"""WITH {BRANDS}, {WEEKS},
 rc AS (SELECT date, row_number() OVER (ORDER BY date) AS i FROM (SELECT DISTINCT date FROM wr)),
-mk AS (SELECT date, avg(value) AS mkt FROM wr GROUP BY 1),
+mk AS (SELECT date, avg(value) AS mkt, coalesce(avg(value) FILTER (k % 2 = 1) - avg(value) FILTER (k % 2 <> 1), 0) AS odd, coalesce(avg(value) FILTER (k > 3) - avg(value) FILTER (k <= 3), 0) AS hi
+  FROM (SELECT date, value, CAST(right(asset_id, 1) AS INTEGER) AS k FROM wr) GROUP BY 1),
 fo AS (SELECT f.f, max(rc.i) AS en FROM (SELECT DISTINCT formation_date AS f FROM lg) f LEFT JOIN rc ON rc.date <= f.f GROUP BY 1),
-ce AS (SELECT fo.f, lg.leg, lg.asset_id, wr.date, wr.value, mkt, count(*) OVER (PARTITION BY fo.f, lg.leg, lg.asset_id) AS k
+ce AS (SELECT fo.f, lg.leg, lg.asset_id, wr.date, wr.value, mkt, odd, hi, count(*) OVER (PARTITION BY fo.f, lg.leg, lg.asset_id) AS k
   FROM fo JOIN lg ON lg.formation_date = fo.f JOIN rc ON rc.i > fo.en - 52 AND rc.i <= fo.en JOIN wr ON wr.date = rc.date AND wr.asset_id = lg.asset_id JOIN mk ON mk.date = rc.date WHERE fo.en >= 52),
 ok AS (SELECT * FROM ce WHERE k >= 26),
 sz AS (SELECT f, leg, count(DISTINCT asset_id) AS n FROM ok GROUP BY 1, 2),
@@ -270,6 +297,7 @@ SELECT gm.series_id, ['in_sample', 'post_sample', 'post_publication'][q.p + 1] A
   {r("CASE WHEN np >= 12 THEN m / sqrt(v) END")} AS t_stat, {r("CASE WHEN q.p = 0 THEN 0e0 WHEN np > 0 AND m0 > 0 THEN (m0 - m) / m0 END")} AS decline
 FROM gm CROSS JOIN range(0, 3) AS q(p) LEFT JOIN ag ON ag.series_id = gm.series_id AND ag.p = q.p""",
         "lambda_grid_fit": f"WITH {SUPPLIERS}, {GRID}, b AS (SELECT series_id, arg_min((j, rate, sse), (round(sse, 6), j)) AS x FROM ss GROUP BY 1) SELECT series_id, CAST(x[1] AS INTEGER) AS j, {r('x[2]', 4)} AS rate, {r('x[3]', 1)} AS sse FROM b",
+        "decay_boot_hash": BOOT,
         "decay_point": f"""WITH RECURSIVE {SUPPLIERS}, {GRID}, {GOLDEN}
 SELECT series_id, CASE WHEN j IN (0, 220) THEN 'linear' ELSE 'exponential' END AS model, {r(rate, 4)} AS decay_rate, {r(level, 2)} AS initial_level, {r("1 - sse / sst", 4)} AS r2_exponential, {r("1 - ssl / sst", 4)} AS r2_linear,
   {r("n * ln(sse / n) + 4", 4)} AS aic_exponential, {r("n * ln(ssl / n) + 4", 4)} AS aic_linear, CASE WHEN n * ln(sse / n) <= n * ln(ssl / n) THEN 'exponential' ELSE 'linear' END AS better_fit, {r("b1", 4)} AS linear_slope,
@@ -290,7 +318,8 @@ w AS (SELECT *, CASE WHEN low <= 0 THEN 'the mean IC is not positive at every ho
 SELECT {r("CASE WHEN reason IS NULL THEN h0 + ln(2e0) / -b END")} AS half_life_periods, reason, peak AS peak_horizon FROM w""",
         "crowding_loo": crowd("leave_one_out") + CROWD_OUT,
         "crowding_pairwise": crowd("pairwise") + CROWD_OUT,
-        "crowding_1factor": crowd("leave_one_out", True) + CROWD_OUT,
+        "crowding_1factor": crowd("leave_one_out", 1) + CROWD_OUT,
+        "crowding_kfactor": crowd("leave_one_out", 3) + CROWD_OUT,
         "crowding_link": LINK,
         "factor_csv": "SELECT * FROM (VALUES (DATE '1926-07-31', 0.0296e0, -0.0256e0, -0.0243e0, 0.0022e0), (DATE '1926-08-31', 0.0264e0, NULL, 0.0382e0, 0.0025e0), (DATE '1926-02-28', 0.001e0, 0.002e0, NULL, 0.0025e0)) AS t(date, mkt_rf, smb, hml, rf)",
         "daily_values": f"SELECT event_type AS series_id, CAST(ts AS DATE) AS date, {r('sum(value)', 4)} AS value FROM events GROUP BY 1, 2",

@@ -70,25 +70,17 @@ def _adjust(method: str) -> Callable:
 
 
 def _decay_point(s: SparkSession, d: str) -> DataFrame:
-    fits = decay.fit_decay(fx.supplier_month(s, d), n_boot=100)
+    fits = decay.fit_decay(fx.supplier_month(s, d), n_boot=0)
     keep = fits.select("series_id", "model", "decay_rate", "initial_level", "r2_exponential", "r2_linear", "aic_exponential", "aic_linear", "better_fit", "linear_slope", "n_obs", "start", "end", "block_size", "fallback")
     return tidy(keep, 4, initial_level=2)
 
 
 def _grid(s: SparkSession, d: str) -> DataFrame:
-    """Best grid rate of each series, by the summed products of grid and time."""
-    rows = align.years_since_start(fx.supplier_month(s, d))
-    w = rows.groupBy("series_id").agg(F.max("t").alias("span"), F.array_sort(F.collect_list("t")).alias("ts"))
-    gaps = F.transform(F.slice("ts", F.lit(2), F.size("ts") - 1), lambda x, i: x - F.element_at("ts", i + 1))
-    step = F.aggregate(F.slice(F.array_sort(gaps), F.floor((F.size(gaps) + 1) / 2).cast("int"), F.lit(2) - F.size(gaps) % 2), F.lit(0.0), lambda a, x: a + x) / (F.lit(2) - F.size(gaps) % 2)
-    fast = F.lit(0.6931471805599453) / F.greatest(F.col("span") / 100, F.lit(3.0) * step)
-    slow = F.lit(4.605170185988092) / F.col("span")
-    j = F.col("j")
-    grid = w.select("series_id", fast.alias("fast"), slow.alias("slow"), F.explode(F.sequence(F.lit(0), F.lit(220))).alias("j"))
-    grid = grid.select("series_id", "j", F.when(j < 60, -F.col("slow") * F.pow(F.lit(1e-5), j / F.lit(59.0))).when(j == 60, 0.0).otherwise(F.col("fast") * F.pow(F.lit(1e-5), (F.lit(220) - j) / F.lit(159.0))).alias("rate"))
-    e = F.exp(-F.col("rate") * F.col("t"))
-    sse = grid.join(rows, "series_id").groupBy("series_id", "j", "rate").agg((F.sum(F.col("value") * F.col("value")) - F.sum(F.col("value") * e) * F.sum(F.col("value") * e) / F.sum(e * e)).alias("sse"))
-    return tidy(sse.groupBy("series_id").agg(F.min(F.struct(F.round("sse", 6).alias("sse"), "j", "rate")).alias("b")).select("series_id", "b.j", F.col("b.rate").alias("rate"), "b.sse"), 4, sse=1)
+    return tidy(decay.mesh_fit(fx.supplier_month(s, d)), 4, sse=1)
+
+
+def _trend_draws(s: SparkSession, d: str) -> DataFrame:
+    return tidy(decay.trend_draws(fx.supplier_month(s, d)), 5)
 
 
 def _fits(s: SparkSession, d: str) -> DataFrame:
@@ -177,6 +169,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "publication_table": _break(lambda x: publication.publication_table(x, SAMPLE_END, PUBLISHED, freq="M")),
     "lambda_grid_fit": _grid,
     "decay_point": _decay_point,
+    "decay_boot_hash": _trend_draws,
     "fit_decay": _fits,
     "signal_lifetime": _lifetime,
     "holm": _adjust("holm"),
