@@ -66,7 +66,7 @@ def walk_forward(df: DataFrame, min_obs: int = 60, step: int = 12, n_boot: int =
     a = decay.usable(breaks.arrays(df)).filter(F.col("n") >= min_obs)
     ends = F.array_distinct(F.concat(F.sequence(F.lit(min_obs), F.col("n"), F.lit(step)), F.array("n")))
     cut = a.select("series_id", F.explode(ends).alias("k"), "y", "d").select(F.concat("series_id", F.lit("\x1f"), F.col("k").cast("string")).alias("series_id"), F.slice("y", F.lit(1), F.col("k")).alias("y"), F.slice("d", F.lit(1), F.col("k")).alias("d"))
-    cut = cut.filter(F.array_max("y") > F.array_min("y")).repartition("series_id")
+    cut = cut.filter(F.array_max("y") > F.array_min("y"))
     fits = decay.fit_arrays(cut, n_boot, alpha, None, window, seed)
     return fits.select(
         F.split("series_id", "\x1f")[0].alias("series_id"), F.col("end").alias("date"), "n_obs", "decay_rate", "half_life_years", "ci_low", "ci_high", "p_value", "decay_detected", "model", "fallback"
