@@ -45,12 +45,15 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from waneline.llm import text as T
 
-#: Coordinates of count vectors.
+#: Coordinates of count vectors, at least; and numbers that the vectors of one block may take.
 DIMS = 128
+MOST_CELLS = 1 << 24
 LEAF = 16
 #: Members of a key, and sets of a block, that one task takes; of more, chunks of about so many are made.
 KEY_ROWS = 4096
 BLOCK_ROWS = 2048
+#: Copies of one text above which a class is looked up apart from the others.
+HOT_COPIES = 1000
 #: Sets that one task compares with a common centre.
 STAR_ROWS = 512
 #: Shingles whose texts a task of verification takes, in several keys, stars or blocks.
@@ -182,19 +185,30 @@ def classed(docs: DataFrame, rule: Rule) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, vector binary")
 
 
+def dims_of(n: int) -> int:
+    """Coordinates for a set of n shingles: so many that unlike sets of its size seldom look alike, about 8 a coordinate at most."""
+    return max(DIMS, 1 << max(0, (n - 1) // 8).bit_length())
+
+
 def _packed_vector(s: np.ndarray) -> bytes:
-    """Counts in DIMS groups, a byte each where they fit, else four."""
-    c = count_vector(s)
-    return (c.astype(np.uint8) if c.max(initial=0) < 256 else c.astype("<u4")).tobytes()
-
-
-def _vectors(blobs: pd.Series) -> np.ndarray:
-    size = np.array([len(b) for b in blobs])
-    out = np.empty((len(blobs), DIMS), np.int64)
-    for width, kind in ((DIMS, np.uint8), (4 * DIMS, "<u4")):
-        at = np.flatnonzero(size == width)
-        if len(at):
-            out[at] = np.frombuffer(b"".join(blobs.iloc[i] for i in at), kind).reshape(-1, DIMS)
+    """The counts as bytes where they fit, else as four bytes each; the width comes first."""
+    c = count_vector(s, dims_of(len(s)))
+    return b"\1" + c.astype(np.uint8).tobytes() if c.max(initial=0) < 256 else b"\4" + c.astype("<u4").tobytes()
+
+
+def _dims(blobs: list[bytes]) -> np.ndarray:
+    return np.array([(len(b) - 1) // b[0] for b in blobs], np.int64)
+
+
+def _points(blobs: list[bytes], dims: int) -> np.ndarray:
+    """The vectors with coordinates summed to so many: groups are leading bits, so neighbours go together."""
+    out = np.empty((len(blobs), dims), np.int32)
+    kinds: dict[tuple[int, int], list[int]] = {}
+    for i, b in enumerate(blobs):
+        kinds.setdefault((b[0], len(b)), []).append(i)
+    for (width, _), at in kinds.items():
+        all_ = np.frombuffer(b"".join(blobs[i][1:] for i in at), np.uint8 if width == 1 else "<u4")
+        out[at] = all_.reshape(len(at), dims, -1).sum(2)
     return out
 
 
@@ -203,8 +217,14 @@ def can_link(edges: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def bounded(a: pd.Series, b: pd.Series) -> pd.Series:
-        x, y = _vectors(a), _vectors(b)
-        return pd.Series(np.minimum(x, y).sum(1) >= rule.overlap(x.sum(1), y.sum(1)))
+        a, b = a.tolist(), b.tolist()
+        dims = np.minimum(_dims(a), _dims(b))
+        out = np.empty(len(a), bool)
+        for d in np.unique(dims).tolist():
+            at = np.flatnonzero(dims == d)
+            x, y = _points([a[i] for i in at], d), _points([b[i] for i in at], d)
+            out[at] = np.minimum(x, y).sum(1) >= rule.overlap(x.sum(1), y.sum(1))
+        return pd.Series(out)
 
     side = lambda name: classes.select(F.col("s1").alias(name), F.col("vector").alias(f"v{name}"))
     return edges.join(side("u"), "u").join(side("v"), "v").filter(bounded("vu", "vv")).select("u", "v")
@@ -342,7 +362,7 @@ class _Union:
 def count_vector(s: np.ndarray, dims: int = DIMS) -> np.ndarray:
     """Number of shingles in each group; groups are the leading bits of the hash."""
     shift = np.uint64(64 - dims.bit_length() + 1)
-    return np.bincount((s >> shift).astype(np.int64), minlength=dims)
+    return np.bincount((s >> shift).astype(np.int64), minlength=dims).astype(np.int32)
 
 
 class Tree:
@@ -408,17 +428,17 @@ def _walk(left: Tree, right: Tree | None, rule: Rule) -> list[tuple[int, int]]:
     return [(int(x), int(y)) for x, y in pairs[near]]
 
 
-def forest(points: np.ndarray, rule: Rule, label: np.ndarray, split: int | None = None, check: Callable[[int, int, int], bool] | None = None) -> list[tuple[int, int]]:
+def forest(points: np.ndarray, rule: Rule, label: np.ndarray, split: int | None = None, overlaps: Callable[[int, np.ndarray], np.ndarray] | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the pairs of points with different labels that the bound admits.
 
-    With ``check`` (of two places and the needed overlap) only pairs that pass it count, and
-    points of one label are connected beforehand. With ``split`` only pairs across that
+    With ``overlaps`` (of one place with several) only pairs that reach the needed overlap count,
+    and points of one label are connected beforehand. With ``split`` only pairs across that
     place are looked at: those within each side are another task's.
     """
     points = points.astype(np.int32)
     size = points.sum(1)
     union = _Union(len(points))
-    if check:
+    if overlaps:
         first: dict[int, int] = {}
         for i, x in enumerate(label.tolist()):
             union.join(first.setdefault(x, i), i)
@@ -433,11 +453,16 @@ def forest(points: np.ndarray, rule: Rule, label: np.ndarray, split: int | None
         ok = (label[a][:, None] != label[b][None]) & (np.minimum(points[a][:, None], points[b][None]).sum(2) >= need)
         if right is None and x == y:
             ok &= a[:, None] < b[None]
-        for p, q in np.argwhere(ok).tolist():
-            i, j = int(a[p]), int(b[q])
-            if union.root(i) != union.root(j) and (check is None or check(i, j, int(need[p, q]))):
-                union.join(i, j)
-                links.append((i, j))
+        for p in np.flatnonzero(ok.any(1)).tolist():
+            i, cols = int(a[p]), [q for q in np.flatnonzero(ok[p]).tolist() if union.root(int(b[q])) != union.root(int(a[p]))]
+            if not cols:
+                continue
+            enough = overlaps(i, b[cols]) >= need[p, cols] if overlaps else np.ones(len(cols), bool)
+            for q in np.flatnonzero(enough).tolist():
+                j = int(b[cols[q]])
+                if union.root(i) != union.root(j):
+                    union.join(i, j)
+                    links.append((i, j))
     return links
 
 
@@ -451,7 +476,23 @@ def overlap_of(s: np.ndarray, t: np.ndarray) -> int:
 def link_within(sets: list[np.ndarray], rule: Rule, label: np.ndarray | None = None, split: int | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links among the sets, or of those across a place; sets of one label count as linked."""
     label = np.arange(len(sets)) if label is None else label
-    return forest(np.stack([count_vector(s) for s in sets]), rule, label, split, lambda i, j, need: overlap_of(sets[i], sets[j]) >= need)
+    size = np.array([len(s) for s in sets])
+    known, place = np.unique(np.concatenate(sets), return_inverse=True)
+    at = np.append(0, np.cumsum(size))
+    mark = np.zeros(len(known), bool)
+
+    def overlaps(i: int, others: np.ndarray) -> np.ndarray:
+        mark[place[at[i] : at[i + 1]]] = True
+        n = size[others]
+        begin = np.cumsum(n) - n
+        hit = mark[place[np.repeat(at[others] - begin, n) + np.arange(n.sum())]]
+        mark[place[at[i] : at[i + 1]]] = False
+        return np.add.reduceat(hit, begin, dtype=np.int64)
+
+    dims = dims_of(int(size.max()))
+    while dims > DIMS and dims * len(sets) > MOST_CELLS:
+        dims //= 2
+    return forest(np.stack([count_vector(s, dims) for s in sets]), rule, label, split, overlaps)
 
 
 # --- the join ----------------------------------------------------------------------------
@@ -491,8 +532,8 @@ def key_blocks(members: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
             split = _split(p)
             if split == 0:  # the other chunk is empty
                 continue
-            v, label = p.column("v").to_numpy(), p.column("label").to_numpy()
-            found += [(v[i], v[j]) for i, j in forest(_vectors(p.column("vector").to_pandas()), rule, label, split)]
+            v, label, vector = p.column("v").to_numpy(), p.column("label").to_numpy(), p.column("vector").to_pylist()
+            found += [(v[i], v[j]) for i, j in forest(_points(vector, int(_dims(vector).min())), rule, label, split)]
         return pa.table({"u": pa.array([x for x, _ in found], pa.int64()), "v": pa.array([x for _, x in found], pa.int64())})
 
     rows = dealt(members, "k", KEY_ROWS).join(classes.select(F.col("s1").alias("v"), "vector"), "v")
@@ -568,24 +609,36 @@ def linked_classes(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame
 
 
 def _grouped(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
-    """The rows as ``classed`` gives them, and the classes: s1, s2, least (doc_id), component_id, and whether the class is the first of its component."""
+    """The rows as ``classed`` gives them, and the classes: s1, s2, least (doc_id), copies, component_id, and whether the class is the first of its component."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     members = T.written(classed(docs, rule))
-    found = members.filter("s1 is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.min("vector").alias("vector"), F.min("n_shingles").alias("n"))
+    found = members.filter("s1 is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.min("vector").alias("vector"), F.min("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
     classes = T.written(found)
     linked = linked_classes(docs, classes, rule)
-    classes = classes.select("s1", "s2", "least")
+    classes = classes.select("s1", "s2", "least", "copies")
     top = classes.join(linked, "s1").groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "s1")).alias("top"))
     named = linked.join(top, "root").select("s1", F.col("top.least").alias("component"), (F.col("s1") == F.col("top.s1")).alias("first"))
-    final = classes.join(named, "s1", "left").select("s1", "s2", "least", F.coalesce("component", "least").alias("component_id"), F.coalesce("first", F.lit(True)).alias("first"))
+    final = classes.join(named, "s1", "left").select("s1", "s2", "least", "copies", F.coalesce("component", "least").alias("component_id"), F.coalesce("first", F.lit(True)).alias("first"))
     return members, final
 
 
+def _of_classes(members: DataFrame, final: DataFrame) -> DataFrame:
+    """The rows with sets, with the columns of their class.
+
+    Classes of very many copies, of which there can be few, are looked up first, in a written
+    table: its size is known, so it is broadcast if small. The rows of the others are shuffled.
+    """
+    members = members.filter("s1 is not null").select("doc_id", "n_shingles", "s1", "s2")
+    large = T.written(final.filter(F.col("copies") > HOT_COPIES))
+    rest = members.join(large.select("s1", "s2"), ["s1", "s2"], "left_anti").join(final.filter(F.col("copies") <= HOT_COPIES), ["s1", "s2"])
+    return members.join(large, ["s1", "s2"]).unionByName(rest)
+
+
 def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
     """doc_id, n_shingles and component_id of every document (the least doc_id that links lead to)."""
     members, final = _grouped(docs, rule)
-    sets = members.filter("s1 is not null").join(final.select("s1", "s2", "component_id"), ["s1", "s2"], "left").select("doc_id", "n_shingles", "component_id")
-    return sets.unionByName(members.filter("s1 is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    names = ["doc_id", "n_shingles", "component_id"]
+    return _of_classes(members, T.written(final)).select(names).unionByName(members.filter("s1 is null").withColumn("component_id", F.col("doc_id")).select(names))
 
 
 def _with_digests(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -608,7 +661,7 @@ def keep_one(docs: DataFrame, rule: Rule = Rule(5, 80)) -> DataFrame:  # noqa: B
     """
     members, final = _grouped(docs, rule)
     key = [F.coalesce("doc_id", F.lit(0)).cast("long").alias("_id"), F.col("doc_id").isNull().alias("_none")]
-    gone = members.join(final, ["s1", "s2"]).filter(~(F.col("first") & F.col("doc_id").eqNullSafe(F.col("least"))))
+    gone = _of_classes(members, T.written(final)).filter(~(F.col("first") & F.col("doc_id").eqNullSafe(F.col("least"))))
     gone = gone.select(*key, F.col("s1").alias("_s1"), F.col("s2").alias("_s2")).distinct()
     own = F.when(F.col("_s1").isNull(), F.monotonically_increasing_id()).alias("_own")  # keeps rows with empty sets apart
     rows = _with_digests(docs, rule).select("*", *key, own)
