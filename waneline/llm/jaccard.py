@@ -51,7 +51,7 @@ MOST_CELLS = 1 << 24
 LEAF = 16
 #: Members of a key, and sets of a block, that one task takes; of more, chunks of about so many are made.
 KEY_ROWS = 4096
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 512
 #: Copies of one text above which a class is looked up apart from the others.
 HOT_COPIES = 1000
 #: Sets that one task compares with a common centre.
