@@ -29,12 +29,12 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage 4: every secret in a text is replaced by a mark; no document goes."""
-    return secrets.redact(docs, secrets.train())
+    return secrets.redact(docs, secrets.trained())
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 5: what is left, in sequences of at most 4096 tokens."""
-    return packing.pack(docs, packing.vocabulary_path())
+    """Stage 5: what is left, in sequences of at most 4096 tokens and 128 documents, which masks of attention have room for."""
+    return packing.pack(docs, packing.vocabulary_path(), max_docs=128)
 
 
 STAGES = [
