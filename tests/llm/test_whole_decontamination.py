@@ -18,8 +18,9 @@ def test_parts_do_not_change_matches(spark, monkeypatch):
             d += 2
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {}
-    for most in (512, 8, 2):
+    for most, at_once in ((512, 8), (8, 8), (2, 8), (2, 1)):
         monkeypatch.setattr(decontaminate, "PART_ITEMS", most)
+        monkeypatch.setattr(decontaminate, "PASS_PARTS", at_once)
         got[most] = sorted(tuple(r) for r in decontaminate.matches(df, items).collect())
         assert decontaminate.keep_clean(df, items).count() == len(docs) - len({r[0] for r in got[most]})
     assert got[512] == got[8] == got[2]
@@ -27,3 +28,12 @@ def test_parts_do_not_change_matches(spark, monkeypatch):
     both, one = math.log(1 + 24 / 2), math.log(1 + 24)
     first = {(r[0], r[1]): r[2] for r in got[2]}[2, 0]
     assert first == round((14 * both + 20 * one) / (16 * both + 22 * one), 6)
+
+
+def test_marks_beyond_ascii_part_words(spark):
+    words = [f"wörd{k}" for k in range(24)]
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    quoted = "\u201c" + "\u2014".join(words[:12]) + "\u201d\u00a0\u00ab" + "\u2026 ".join(words[12:]) + "\u00bb"
+    df = spark.createDataFrame([(5, "er sagte: " + quoted + " und ging"), (6, "nichts davon \u201chier\u201d"), (7, None)], "doc_id long, text string")
+    assert [(r["doc_id"], r["item_id"], r["similarity"]) for r in decontaminate.matches(df, items).collect()] == [(5, 1, 1.0)]
+    assert sorted(r["doc_id"] for r in decontaminate.keep_clean(df, items).collect()) == [6, 7]

@@ -35,13 +35,20 @@ THRESHOLD = 0.8
 #: At similarity 0.8 about ten of 64 bits differ, with a deviation of three.
 RADIUS = 20
 BLOCKS = 4
-#: Items broadcast at once (about 0.1 MB each with their index); a larger benchmark goes in several such parts,
-#: which share the weights of the whole benchmark and so give the same matches.
+#: Items of one index (about 0.1 MB each), and indexes of one pass over the documents: both bound what is collected and
+#: broadcast at once. All indexes share the weights of the whole benchmark and so give the same matches, however many.
 PART_ITEMS = 512
+PASS_PARTS = 8
+#: Marks beyond ASCII: anything but letters, digits and what combines with them.
+_MARKS = r"[^\x00-\x7F\pL\pN\pM]"
 
 
 def _words(texts: pa.Array) -> T.Words:
-    return T.words(*T.buffer(pc.utf8_lower(texts.fill_null(""))), separators=T.NON_WORD)
+    texts = texts.fill_null("")
+    odd = pc.match_substring_regex(texts, _MARKS)
+    if pc.any(odd).as_py():
+        texts = pc.if_else(odd, pc.replace_substring_regex(texts, _MARKS, " "), texts)
+    return T.words(*T.buffer(pc.utf8_lower(texts)), separators=T.NON_WORD)
 
 
 def _runs(h: np.ndarray, k: int) -> np.ndarray:
@@ -57,11 +64,24 @@ def simhash(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return out
 
 
+@dataclass
+class Shared:
+    """What all parts of a benchmark need of the whole: the number of items, and the shingles of two items or more with how many have them."""
+
+    items: int
+    hash: np.ndarray  # sorted
+    have: np.ndarray
+
+
 @dataclass
 class Weights:
-    """Weights of shingles over the whole benchmark; every part of it uses these."""
+    """Weights of shingles over the whole benchmark, for one part of it.
+
+    A shingle of one item weighs as much as one of none, so beside the part's own shingles only
+    those of several items need to be known.
+    """
 
-    known: np.ndarray  # all shingle hashes of all parts, sorted
+    known: np.ndarray  # sorted
     weight: np.ndarray
     other: float
     coarse: np.ndarray  # which leading 20 bits any known shingle has
@@ -99,6 +119,7 @@ def _balls(radius: int) -> np.ndarray:
 class Part:
     """Some of the items, by size; its own shingles are places in the weights, sorted."""
 
+    table: Weights
     own: np.ndarray
     groups: list[Group]
     radius: int
@@ -121,28 +142,24 @@ def _bags(items: list[tuple[int, str | None]]) -> tuple[T.Words, list[dict[int,
     return w, bags, sizes
 
 
-def weigh(parts: list[list[tuple[int, str | None]]]) -> Weights | None:
-    """Weights over all parts together; None if no item has a word."""
-    hashes, n = [], 0
-    for items in parts:
-        _, bags, sizes = _bags(items)
-        hashes += [np.fromiter(bag, np.uint64, len(bag)) for bag in bags]
-        n += sum(s > 0 for s in sizes)
-    if not n:
-        return None
-    known, have = np.unique(np.concatenate(hashes), return_counts=True)
+def weigh(own: np.ndarray, shared: Shared) -> Weights:
+    """Weights of the sorted shingles of a part, and of those that several items share."""
+    known = np.union1d(own, shared.hash)
+    have = np.ones(len(known), np.int64)
+    have[np.searchsorted(known, shared.hash)] = shared.have
     coarse = np.zeros(1 << 20, bool)
     coarse[known >> np.uint64(44)] = True
-    return Weights(known, np.log(1 + n / have), math.log(1 + n), coarse)
+    return Weights(known, np.log(1 + shared.items / have), math.log(1 + shared.items), coarse)
 
 
-def build(items: list[tuple[int, str | None]], table: Weights, threshold: float = THRESHOLD, radius: int = RADIUS) -> Part | None:
+def build(items: list[tuple[int, str | None]], shared: Shared, threshold: float = THRESHOLD, radius: int = RADIUS) -> Part | None:
     """Index of a bounded list of (item_id, text) under the weights of the whole benchmark; None if no item has a word."""
     w, bags, sizes = _bags(items)
     if not any(sizes):
         return None
+    table = weigh(np.array(sorted({r for bag in bags for r in bag}), np.uint64), shared)
     own = table.locate(np.array(sorted({r for bag in bags for r in bag}), np.uint64))
-    part = Part(own, [], radius, threshold)
+    part = Part(table, own, [], radius, threshold)
     near = _balls(radius // BLOCKS)
     for size in sorted({s for s in sizes if s}):
         mine = [i for i, s in enumerate(sizes) if s == size]
@@ -165,8 +182,8 @@ def build(items: list[tuple[int, str | None]], table: Weights, threshold: float
 class Finder:
     """Matches of documents."""
 
-    def __init__(self, table: Weights, b: Part):
-        self.table, self.b = table, b
+    def __init__(self, b: Part):
+        self.table, self.b = b.table, b
 
     def owned(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which known shingles are of this part, and where those are among its own."""
@@ -231,10 +248,9 @@ class Finder:
                     best[g.ids[i]] = (x, s, m + k - 1, int(distance))
         return best
 
-    def __call__(self, texts: pa.Array) -> list[list[tuple[int, float, int, int, int]]]:
-        """For each text its (item_id, similarity, first word, words, distance), best window of each item."""
+    def __call__(self, texts: pa.Array, w: T.Words) -> list[list[tuple[int, float, int, int, int]]]:
+        """For each text, of these words, its (item_id, similarity, first word, words, distance), best window of each item."""
         b = self.b
-        w = _words(texts)
         best: list[dict[int, tuple[float, int, int, int]]] = [{} for _ in range(len(texts))]
         for k in sorted({g.k for g in b.groups}):
             groups = [g for g in b.groups if g.k == k]
@@ -254,57 +270,92 @@ class Finder:
         return [[(i, *v) for i, v in sorted(x.items())] for x in best]
 
 
-def benchmarks(items: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> tuple[Weights | None, list[Part]]:
-    """The weights over all items (item_id, text), and the items as indexes of PART_ITEMS at most, broadcast one by one."""
+def _shared(items: DataFrame) -> Shared:
+    """Counts over the whole benchmark, made in Spark; shingles of a single item stay there."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            _, bags, _ = _bags([(0, t) for t in b.column("text").to_pylist()])
+            hashes = [np.fromiter(bag, np.uint64, len(bag)).view(np.int64) for bag in bags]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *hashes]), pa.int64()), pa.array(np.repeat(0, sum(map(len, hashes))), pa.int32())], ["h", "items"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([sum(bool(bag) for bag in bags)], pa.int32())], ["h", "items"])
+
+    counted = items.select("text").mapInArrow(count, "h long, items int").groupBy("h").agg(F.count(F.lit(1)).alias("have"), F.sum("items").alias("items"))
+    got = counted.filter("h is null or have > 1").toArrow()
+    n = pc.sum(got.column("items")).as_py() or 0
+    got = got.filter(pc.is_valid(got.column("h")))
+    h = got.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    return Shared(n, h[order], got.column("have").to_numpy()[order])
+
+
+def passes(items: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> Iterator[tuple[list[Part], bool]]:
+    """Indexes for one pass over the documents after the other, at most PASS_PARTS of PART_ITEMS items each, and whether it is the last."""
     items = items.select("item_id", "text").filter("text is not null and item_id is not null")
+    shared = _shared(items)
     n = max(1, math.ceil(items.count() / (PART_ITEMS * 0.8)))
-    parts = []
-    for k in range(n):
-        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()
-        parts.append(sorted((r["item_id"], r["text"]) for r in rows))
-    table = weigh(parts)
-    built = [] if table is None else [build(p, table, threshold, radius) for p in parts]
-    return table, [b for b in built if b is not None]
+    for first in range(0, n, PASS_PARTS):
+        parts: dict[int, list] = {}
+        place = F.pmod(F.xxhash64("item_id"), F.lit(n)).alias("place")
+        for r in items.select("item_id", "text", place).filter(F.col("place").between(first, first + PASS_PARTS - 1)).collect():
+            parts.setdefault(r["place"], []).append((r["item_id"], r["text"]))
+        built = [build(sorted(parts[k]), shared, threshold, radius) for k in sorted(parts)]
+        yield [b for b in built if b is not None], first + PASS_PARTS >= n
 
 
 def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
-    """One row per document and item it holds: doc_id, item_id, similarity, start_word, n_words, distance."""
+    """One row per document and item it holds: doc_id, item_id, similarity, start_word, n_words, distance.
+
+    With more than one pass, what each finds is written before the next is built.
+    """
     kind = "doc_id long, item_id long, similarity double, start_word long, n_words long, distance int"
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("distance", pa.int32())])
     spark = docs.sparkSession
-    out = spark.createDataFrame([], kind)
-    table, parts = benchmarks(items, threshold, radius)
-    weights = spark.sparkContext.broadcast(table)
-    for k, b in enumerate(parts):
-        shared = spark.sparkContext.broadcast(b)
+    out = None
+    for parts, last in passes(items, threshold, radius):
+        shared = spark.sparkContext.broadcast(parts)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            find = Finder(weights.value, shared.value)
+            finders = [Finder(b) for b in shared.value]
             for whole in batches:
                 for s in T.slices(whole):
-                    rows = [(d, i, round(x, 6), a, n, h) for d, found in zip(s.column("doc_id").to_pylist(), find(s.column("text")), strict=True) for i, x, a, n, h in found]
+                    ids, texts = s.column("doc_id").to_pylist(), s.column("text")
+                    w = _words(texts)
+                    rows = [(d, i, round(x, 6), a, n, h) for find in finders for d, found in zip(ids, find(texts, w), strict=True) for i, x, a, n, h in found]
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
         part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, kind)
-        out = part if k == 0 else out.union(part)
+        if not last or out is not None:
+            part = T.written(part)
+            shared.destroy()
+        out = part if out is None else out.union(part)
     return out
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
-    """The rows, with all their columns, that hold no item."""
-    table, parts = benchmarks(items, threshold, radius)
-    weights = docs.sparkSession.sparkContext.broadcast(table)
-    for b in parts:
-        shared = docs.sparkSession.sparkContext.broadcast(b)
+    """The rows, with all their columns, that hold no item; what a pass keeps is written before the next."""
+    spent = None
+    for parts, last in passes(items, threshold, radius):
+        shared = docs.sparkSession.sparkContext.broadcast(parts)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            find = Finder(weights.value, shared.value)
+            finders = [Finder(b) for b in shared.value]
             for whole in batches:
                 for s in T.slices(whole):
-                    yield s.filter(pa.array([not found for found in find(s.column("text"))], pa.bool_()))
+                    w = _words(s.column("text"))
+                    clean = np.ones(s.num_rows, bool)
+                    for find in finders:
+                        clean &= [not found for found in find(s.column("text"), w)]
+                    yield s.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if not last:
+            docs = T.written(docs)
+            shared.destroy()
+            if spent is not None:
+                T.discard(spent)
+            spent = docs
     return docs
 
 
