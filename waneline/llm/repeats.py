@@ -12,13 +12,14 @@ other windows and finds the earliest place of each. Before each shuffle a task s
 at most for each hash, so a passage shared by any number of documents stays small.
 
 Defined cases: a null or empty text has no words, and its digest is that of the empty string.
-Null ids come after all others. Rows that share an id and a text are the same place and do not
+Null ids come after all others, in an order of their texts' hashes. Rows that share an id and a text are the same place and do not
 remove each other's words; the first occurrence stays. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,11 @@ SIZE = 20
 ANCHOR = 8
 #: A task packs and sends what it has gathered at so many entries.
 FLUSH = 1 << 20
-_LAST = np.iinfo(np.int64).max  # stands for a null id
+_LAST = np.iinfo(np.int64).max
+#: Null ids stand as so many of the largest numbers, by a hash of the text: no bucket gets all of them.
+_NULLS = 1 << 20
+#: Bytes of text in one bucket of documents, and of entries in one bucket of hashes.
+BUCKET_BYTES = 1 << 26
 _SEVERAL = np.iinfo(np.int64).min  # for several documents of one task
 _SECOND = 0xC2B2AE3D27D4EB4F
 _PACKED = pa.schema([("b", pa.int32()), ("kind", pa.int8()), ("h", pa.binary()), ("c", pa.binary()), ("d", pa.binary()), ("p", pa.binary())])
@@ -102,10 +107,6 @@ def _hash_bucket(h: np.ndarray, n: int) -> np.ndarray:
     return (T.mix(h ^ np.uint64(_SECOND)) % np.uint64(n)).astype(np.int32)
 
 
-def _ids(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return column.cast(pa.int64()).fill_null(_LAST).to_numpy()
-
-
 def _nothing(n: int, dtype: type) -> np.ndarray:
     return np.zeros(n, dtype)
 
@@ -139,8 +140,9 @@ def removed(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
     """The documents by bucket (b, doc_id, text), and the packed answers that name the windows to remove, by the same buckets."""
     if size < ANCHOR:
         raise ValueError(f"windows have {ANCHOR} words or more")
-    n_hash = T.width(docs.sparkSession)  # buckets of hashes
-    n = 2 * n_hash  # buckets of documents
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_hash = max(T.width(docs.sparkSession), math.ceil(total / BUCKET_BYTES))  # buckets of hashes: entries take less room than the texts
+    n = max(2 * T.width(docs.sparkSession), math.ceil(total / BUCKET_BYTES))  # buckets of documents
 
     def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hs: list[np.ndarray] = []
@@ -151,7 +153,7 @@ def removed(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
                 w = T.words(*T.buffer(b.column("text")))
                 _, doc, h, at = anchors(w, size, ANCHOR)
                 hs.append(h)
-                ds.append(_ids(b.column("doc_id"))[doc[at]])
+                ds.append(b.column("id").to_numpy()[doc[at]])
                 held += len(h)
                 if held > FLUSH:
                     yield from _local_anchors(np.concatenate(hs), np.concatenate(ds), n, n_hash)
@@ -183,7 +185,7 @@ def removed(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
                     if len(w.hash) < size:
                         continue
                     least, doc, _, _ = anchors(w, size, ANCHOR)
-                    ids = _ids(s.column("doc_id"))
+                    ids = s.column("id").to_numpy()
                     lo, hi = np.searchsorted(want_d, ids, "left"), np.searchsorted(want_d, ids, "right")
                     chosen = [np.empty(0, np.int64)]
                     for i in np.flatnonzero(hi > lo):
@@ -222,12 +224,13 @@ def removed(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
 
     @F.pandas_udf("int")
     def bucket(ids: pd.Series) -> pd.Series:
-        return pd.Series(_doc_bucket(ids.fillna(0).astype(np.int64).to_numpy() if not ids.isna().any() else np.array([_LAST if pd.isna(i) else int(i) for i in ids], np.int64), n))
+        return pd.Series(_doc_bucket(ids.to_numpy(np.int64), n))
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    spread = F.lit(int(_LAST)) - F.pmod(F.xxhash64("text"), F.lit(_NULLS))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), spread).alias("id"), "text")
     first = docs.mapInArrow(first_round, _PACKED_SQL)
     told = first.groupBy("b").applyInArrow(shared_anchors, _PACKED_SQL)
-    texts = docs.select(bucket("doc_id").alias("b"), "doc_id", "text")
+    texts = docs.select(bucket("id").alias("b"), "doc_id", "id", "text")
     second = texts.groupBy("b").cogroup(told.groupBy("b")).applyInArrow(second_round, _PACKED_SQL)
     return texts, second.groupBy("b").applyInArrow(earlier_windows, _PACKED_SQL)
 
@@ -245,7 +248,7 @@ def dedup(docs: DataFrame, size: int = SIZE, with_text: bool = True) -> DataFram
             for s in T.slices(b):
                 data, off = T.buffer(s.column("text"))
                 w = T.words(data, off)
-                ids = _ids(s.column("doc_id"))
+                ids = s.column("id").to_numpy()
                 check = (T.mix(T.windows(w.hash, size, _SECOND)) >> np.uint64(32)).astype(np.uint32)
                 lo, hi = np.searchsorted(want_d, ids, "left"), np.searchsorted(want_d, ids, "right")
                 rows = []
