@@ -10,7 +10,6 @@ empty table gives an empty result; with nothing to learn from, every text is ``u
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,12 +20,16 @@ from pyspark.sql import functions as F
 
 from waneline.llm import text as T
 
-_LETTER = re.compile(r"[^\W\d_]")
 _MULT = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 #: At most about so many labelled rows are learned from; they are picked by a hash of the id.
 TRAIN_ROWS = 20_000
 
 
+def has_letter(t: str) -> bool:
+    """Whether any code point is of a Unicode letter category; numerals such as \u00b2, \u00bd or \u2167 are not."""
+    return any(map(str.isalpha, t[:64])) or any(map(str.isalpha, t[64:]))
+
+
 def grams(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashed 1-, 2- and 3-grams of code points of each lower-cased text; and the row of each. Bucket 2**bits is void."""
     parts = [np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
@@ -57,9 +60,9 @@ class LanguageModel:
     bits: int
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Language and posterior of each text. The evidence is tempered to 40 n-grams' worth so that scores can differ from 0 and 1."""
+        """Language of the largest posterior, and a score: its posterior with the evidence tempered to 40 n-grams' worth, so that scores can differ from 0 and 1."""
         plain = [t or "" for t in texts]
-        known = np.array([bool(_LETTER.search(t)) for t in plain], bool) & bool(self.names)
+        known = np.array([has_letter(t) for t in plain], bool) & bool(self.names)
         if not self.names or not plain:
             return ["und"] * len(plain), np.zeros(len(plain))
         idx, n = grams(plain, self.bits)
@@ -68,10 +71,10 @@ class LanguageModel:
             per = self.logp[idx[:, 0]] + self.logp[idx[:, 1]] + self.logp[idx[:, 2]]
             full = np.flatnonzero(n)
             ll[full] = np.add.reduceat(per, (np.cumsum(n) - n)[full], axis=0)
-        ll *= (np.minimum(n, 40) / np.maximum(n, 1))[:, None]
-        ll += self.prior
-        best = ll.argmax(1)
-        p = 1 / np.exp(ll - ll.max(1, keepdims=True)).sum(1)
+        best = (ll + self.prior).argmax(1)
+        tempered = ll * (np.minimum(n, 40) / np.maximum(n, 1))[:, None] + self.prior
+        tempered = np.exp(tempered - tempered.max(1, keepdims=True))
+        p = tempered[np.arange(len(plain)), best] / tempered.sum(1)
         return [self.names[b] if k else "und" for b, k in zip(best, known, strict=True)], np.where(known, p, 0.0)
 
 
