@@ -1,8 +1,8 @@
 """WARC: archives written with Spark's text sink, and a salvage reader.
 
 Writing is native: each record is one string value whose last line end is the sink's row
-separator, so the files are plain WARC files of a bounded number of records each, on whatever
-storage Spark writes to. The reader also takes archives of gzip members.
+separator, so the files are plain WARC files of bounded size, on whatever storage Spark writes
+to. The reader also takes archives of gzip members.
 
 The reader checks each record's header, length, closing blank lines and payload digest. After
 a failed check it searches for the next gzip member or version line that passes them, goes on
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import logging
 import re
 import zlib
 from collections.abc import Iterator
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from waneline.llm import text as T
 
 REVISIT_BYTES = 1000
-RECORDS_PER_FILE = 1000
+#: Records of up to so many payload bytes go so many to a file: no file passes 256 MB but for a single larger record.
+FILE_TIERS = ((1 << 18, 1000), (1 << 24, 16), (None, 1))
 #: Groups of equal payloads up to this number (some 100 bytes each) are broadcast; more are joined by a salted shuffle.
 BROADCAST_ROWS = 100_000
 SALTS = 32
@@ -170,15 +172,23 @@ def record_text(date: str = "1970-01-01T00:00:00Z") -> Column:
 
 
 def write(pages: DataFrame, path: str, least: int = REVISIT_BYTES) -> None:
-    """Write a record per page into plain WARC files under ``path``."""
-    classify(pages, least).select(record_text().alias("value")).write.option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    """Write a record per page into plain WARC files under ``path``, in a folder for each tier of sizes that occurs."""
+    longest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    rows, below = classify(pages, least), 0
+    for k, (most, records) in enumerate(FILE_TIERS):
+        if k and longest < below:
+            break
+        size = F.col("payload_bytes")
+        mine = rows.filter((size >= below) & (size < most)) if most else rows.filter(size >= below)
+        mine.select(record_text().alias("value")).write.option("maxRecordsPerFile", records).text(f"{path}/tier={k}")
+        below = most
 
 
 _FIELDS = [("archive", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("target_uri", pa.string())]
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record, and per gap (record_type ``gap``), of all archives under ``path``, with byte spans."""
+    """One row per record, and per gap (record_type ``gap``), of all archives under ``path``, with byte spans; gaps are logged as warnings too."""
     schema = pa.schema(_FIELDS)
 
     def number(s: str | None) -> int | None:
@@ -191,6 +201,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 rows = []
                 for r in salvage(content.as_py()):
                     if isinstance(r, Gap):
+                        logging.getLogger(__name__).warning("quarantined bytes %d to %d of %s", r.start, r.end, name.as_py())
                         rows.append((name.as_py(), r.start, r.end, None, None, None, "gap", None, None))
                         continue
                     h, revisit = r.headers, r.headers["warc-type"] == "revisit"
@@ -200,15 +211,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), _FIELDS, strict=True)], schema=schema)
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(run, "archive string, start long, end long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write ``pages`` to archives and read the archives back."""
+    """Write ``pages`` to archives and read the archives back; a gap in what was just written is an error."""
     path = T.shared_dir(spark)
     write(T.table(spark, sf_dir, "pages"), path)
-    return read(spark, path).filter("record_type != 'gap'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    whole = F.when(F.col("record_type") != "gap", True).otherwise(F.raise_error(F.concat(F.lit("damaged archive "), F.col("archive"))).cast("boolean"))
+    return read(spark, path).filter(whole).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 QUERIES = {"op6_warc": op6_warc}
