@@ -4,8 +4,9 @@ Terms are the words of a text. Their document frequencies over all documents are
 count-min table of a fixed size; its relative error does not depend on the number of
 documents. Terms within a band of inverse document frequency are kept, sorted and made
 distinct, and several random parts of the lexicon are hashed: each part of a level keeps a
-given share of all terms, so that sparse levels bear larger edits and dense ones tell texts
-apart. A fingerprint is the row of those hashes; the likeness of two is the share of equal
+given share of all terms, from a quarter to 1 in 4,096: a part is equal only if no term of it
+changed, so sparse levels bear larger edits, of longer texts, and dense ones tell texts apart.
+Parts of a quarter or more alone would bear hardly any edit of a third of a text. A fingerprint is the row of those hashes; the likeness of two is the share of equal
 ones among the parts that hold a term of either text, at the level where it is largest.
 
 Defined cases: a null text is empty, and all empty texts share one fingerprint, which is like
@@ -36,6 +37,8 @@ ROWS = 2
 #: Each level deals the lexicon into so many parts, of which it uses the first PARTS.
 LEVELS = (4, 16, 64, 256, 1024, 4096)
 PARTS = 16
+#: Runs of neighbouring documents dealt to a task: several, so that tasks come out alike.
+RUNS_A_TASK = 4
 _SEEDS = [np.uint64(0xA0761D6478BD642F * (2 * k + 1) & ((1 << 64) - 1)) for k in range(len(LEVELS) + ROWS)]
 _USED = [min(PARTS, n) for n in LEVELS]
 N_HASHES = sum(_USED)
@@ -156,7 +159,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
     the ids at run borders (one per run) reach the driver.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    runs = T.width(docs.sparkSession)
+    runs = RUNS_A_TASK * T.width(docs.sparkSession)
     found = docs.select(F.percentile_approx("doc_id", [(i + 1) / runs for i in range(runs - 1)], 10_000).alias("q")).first()["q"] if runs > 1 else []
     cuts = np.array(sorted({int(c) for c in found or []}), np.int64)
 
@@ -218,13 +221,14 @@ def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                 [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(sha, pa.string()), pa.array(_hex(own), pa.string()), pa.array(_hex(changed), pa.string()), pa.array(likeness(own, changed)), pa.array(likeness(own, other))], names
             )
 
-        for b in batches:
-            for row in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("run").to_pylist(), b.column("sentinel").to_pylist(), strict=True):
-                held.append(row)
-                size += len(row[1])
-                if size > 1 << 20 and len(held) > 1:
-                    yield from flush(held)
-                    held, size = held[-1:], len(row[1])
+        for whole in batches:
+            for b in T.slices(whole):
+                for row in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("run").to_pylist(), b.column("sentinel").to_pylist(), strict=True):
+                    held.append(row)
+                    size += len(row[1])
+                    if size > 1 << 20 and len(held) > 1:
+                        yield from flush(held)
+                        held, size = held[-1:], len(row[1])
         if len(held) > 1:
             yield from flush(held)
 
