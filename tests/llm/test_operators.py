@@ -34,10 +34,11 @@ def brute_base(t):
 
 def test_secrets_match_brute_force_and_the_network_adds(spark, documents, texts, odd, empty):
     model = secrets.train()
-    assert model.calibration_recall >= 0.98
+    assert (model.calibration_recall >= 0.95).all() and (model.threshold < 1).all()
     held = secrets.labelled_findings(600, seed=123)
-    p, y = model.score([x[:3] for x in held]), np.array([x[3] for x in held])
-    assert (p[y == 1] >= model.threshold).mean() > 0.95 and (p[y == 0] < model.threshold).mean() > 0.95
+    found, y = secrets.found_of(model, held), np.array([x[3] for x in held])
+    by_pattern = np.array([secrets.scanned(x)[1] for x in held])  # those stay whatever the network says
+    assert found[y == 1].mean() > 0.95 and (~found[(y == 0) & ~by_pattern]).mean() > 0.97
     for r in rows(secrets.digest(documents, model)):
         assert r["base_sha256"] == hashlib.sha256(brute_base(texts[r["doc_id"]]).encode()).hexdigest()
     tricky = ["token=secret: abcdefgh", "PassWord = 'hunter22'", "toKen=abcdefgh", "api_key:abc", "é token = 24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "AKIA" + "A1" * 8 + " AKIAKIA", "see key: Zx81Qm4Tt7Lw09PdRk3BvN5y ok"]
@@ -192,6 +193,30 @@ def test_warc_round_trip(spark, sf, tmp_path):
     assert got == Counter([(1, n, "revisit", 5), (5, n, "response", None), (None, n, "revisit", 5), (2, 0, "response", None), (3, 999, "response", None), (3, 999, "response", None)])
 
 
+def test_archives_of_every_tier_and_of_odd_tables(spark, tmp_path, monkeypatch):
+    """Files are bounded in bytes, gaps of damaged files are rows, the shuffled join agrees with the broadcast one."""
+    sizes = [0, 10, 1200, 1200, 5000, 5000, 90_000, 90_000, 90_000]
+    table = [(k, f"u{k}", chr(97 + n % 7) * n, k) for k, n in enumerate(sizes)]
+    pages = spark.createDataFrame(table, "page_id long, url string, html string, _response long").coalesce(1)
+    monkeypatch.setattr(warc, "FILE_TIERS", ((2000, 3), (20_000, 2), (None, 1)))
+    plain = None
+    for k, most in enumerate((100, 0)):
+        monkeypatch.setattr(warc, "BROADCAST_ROWS", most)
+        warc.write(pages, str(tmp_path / f"w{k}"))
+        got = sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"] or -1) for r in rows(warc.read(spark, str(tmp_path / f"w{k}"))))
+        assert [x[:2] for x in got] == list(enumerate(sizes)) and plain in (None, got)
+        plain = got
+    files = [f for f in (tmp_path / "w0").rglob("part-*") if "tier=2" in str(f)]
+    assert len(files) == 3 and max(f.stat().st_size for f in (tmp_path / "w0").rglob("part-*")) < 100_000
+    biggest = max(files, key=lambda f: f.stat().st_size)
+    biggest.with_name("." + biggest.name + ".crc").unlink()
+    biggest.write_bytes(biggest.read_bytes()[:-700])
+    assert [r["record_type"] for r in rows(warc.read(spark, str(biggest)))] == ["gap"]
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    warc.write(empty, str(tmp_path / "none"))
+    assert warc.read(spark, str(tmp_path / "none")).count() == 0
+
+
 def make(payload: bytes) -> bytes:
     return b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Payload-Digest: sha1:" + hashlib.sha1(payload).hexdigest().encode() + b"\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload + b"\r\n\r\n"
 
@@ -230,6 +255,24 @@ def test_language_of_held_out_rows(documents, odd, empty):
 # --- 8 fingerprints ----------------------------------------------------------------------
 
 
+def test_language_is_the_largest_posterior_by_brute_force(texts):
+    """Against sums over a dictionary of n-grams, term by term."""
+    model = langid.LanguageModel(["de", "en"], np.random.default_rng(0).normal(-8, 2, ((1 << 16) + 1, 2)), np.log([0.9, 0.1]), 16)
+    model.logp[-1] = 0
+    some = [t for t in texts.values() if t][:60] + ["a", "é", "ab"]
+    got, p = model.predict(some)
+    for text, lang in zip(some, got, strict=True):
+        total = model.prior.copy()
+        for i in range(len(text.lower())):
+            for k in (1, 2, 3):
+                if i + k <= len(text.lower()):
+                    total += model.logp[langid.grams([text.lower()[i : i + k]], 16)[0][0, k - 1]]
+        assert lang == model.names[int(total.argmax())]
+    assert ((p > 0) & (p <= 1)).all()
+    odd_, _ = model.predict(["²", "½", "Ⅷ", "12 _ !", "", None, "ª", "1a", "x" * 0 + "7" * 100 + "é"])
+    assert odd_[:6] == ["und"] * 6 and "und" not in odd_[6:]
+
+
 def test_fingerprints_of_edited_texts(spark, sf, texts):
     got = {r["doc_id"]: r for r in rows(fingerprints.op8_document_fingerprints(spark, sf))}
     order = sorted(texts, reverse=True)
@@ -301,7 +344,7 @@ def test_components_match_brute_force(spark, n, percent, monkeypatch):
     want = brute_components(docs, n, percent)
     for small in (False, True):  # the second deals keys, stars and blocks into chunks
         if small:
-            for name, most in (("KEY_ROWS", 5), ("BLOCK_ROWS", 7), ("STAR_ROWS", 3), ("LOCAL", 2)):
+            for name, most in (("KEY_ROWS", 5), ("BLOCK_ROWS", 7), ("STAR_ROWS", 3), ("LOCAL", 2), ("HOT_COPIES", 1)):
                 monkeypatch.setattr(jaccard, name, most)
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows(jaccard.join(df, jaccard.Rule(n, percent)))} == want
 
@@ -429,3 +472,29 @@ def test_training_is_bounded_in_rows_and_bytes(spark, monkeypatch):
 def test_texts_beyond_ascii_hash_alike():
     bucket, row = toxicity.terms(pa.array(["ÉTÉ x", "été X", None, ""]))
     assert sorted(bucket[row == 0]) == sorted(bucket[row == 1]) and not (row > 1).any()
+
+
+def test_likeness_by_brute_force(texts):
+    """Each hash equals exactly where the kept terms of its part are the same set; the likeness is the best share by level."""
+    some = [t for t in texts.values() if t and len(t) > 200][:40]
+    edited = [t[: len(t) - len(t) // 3] + u[: len(t) // 3] for t, u in zip(some, some[1:] + some[:1], strict=True)]
+    everything = np.full((2, 1 << 12), 3, np.uint8)  # all terms are in the band
+    a, b = (fingerprints.fingerprint(pa.array(x, pa.large_string()), everything) for x in (some, edited))
+    hashed = {w: fingerprints.T.words(*fingerprints.T.buffer(pa.array([w]))).hash[0] for t in [*some, *edited] for w in words(t)}
+    for row, (s, t) in enumerate(zip(some, edited, strict=True)):
+        best, first = 0.0, 0
+        for level, (parts, used) in enumerate(zip(fingerprints.LEVELS, fingerprints._USED, strict=True)):
+            mine = [[set() for _ in range(used)] for _ in range(2)]
+            for side, text in enumerate((s, t)):
+                for w in set(words(text)):
+                    part = int(fingerprints.T.mix(np.array([hashed[w] ^ fingerprints._SEEDS[level]]))[0] % np.uint64(parts))
+                    if part < used:
+                        mine[side][part].add(w)
+            same = [x == y for x, y in zip(*mine, strict=True)]
+            held = [bool(x or y) for x, y in zip(*mine, strict=True)]
+            assert [bool(x) for x in a[row, first : first + used] == b[row, first : first + used]] == same
+            if sum(held) >= min(4, used):
+                best = max(best, sum(x and y for x, y in zip(same, held, strict=True)) / sum(held))
+            first += used
+        want = 1.0 if (a[row] == b[row]).all() else min(best, 0.999999)
+        assert fingerprints.likeness(a[row : row + 1], b[row : row + 1])[0] == pytest.approx(want)

@@ -292,7 +292,7 @@ def shared_keys(docs: DataFrame, rule: Rule, buckets: int) -> DataFrame:
                 if size > FLUSH:
                     yield from flush()
                     held_k, held_s, size = [], [], 0
-                if len(seen) > 1_000_000:
+                if len(seen) > 250_000:
                     seen.clear()
         if size:
             yield from flush()

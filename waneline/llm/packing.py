@@ -34,7 +34,7 @@ END_ID = 1
 WEIGHTS = (1.0, 0.1, 0.1)
 GROUP_ROWS = 4096
 #: Words whose ids a worker keeps; beyond that it starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 _SLOT_BITS = 20
 #: New words encoded in one call.
 _TOGETHER = 2000
