@@ -102,8 +102,8 @@ def excluded(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def need_overlap(left: DataFrame, right: DataFrame) -> None:
     """An error if the panels share no date or no asset; an empty panel has nothing to share and passes."""
+    common = lambda key: left.select(key).distinct().join(right.select(key).distinct(), key, "left_semi").limit(1).select(F.lit(key).alias("key"))
+    found = {r["key"] for r in common("date").unionAll(common("asset_id")).collect()}  # one job for both
     for key in ("date", "asset_id"):
-        if not left.select(key).distinct().join(right.select(key).distinct(), key, "left_semi").limit(1).collect():
-            if left.isEmpty() or right.isEmpty():
-                return
+        if key not in found and not (left.isEmpty() or right.isEmpty()):
             raise AlignmentError(f"The panels share no {key}. Check that both use the same labels.")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from waneline.functions import model
 from waneline.functions.errors import InputError, InsufficientDataError
-from waneline.operators import breaks, decay, panel
+from waneline.operators import align, breaks, decay, panel
 
 LN2 = 0.6931471805599453
 
@@ -103,11 +103,12 @@ def ic_by_horizon(signal: DataFrame, returns: DataFrame, horizons: Sequence[int]
     all horizons go through one plan. Horizons with fewer than ten usable dates are left out.
     """
     hs = check_horizons(horizons)
+    align.need_overlap(signal, returns)  # forward returns have the same dates and assets
     fwd = None
     for h in hs:
         f = panel.forward_returns(returns, h, check=h == hs[0]).withColumn("horizon", F.lit(h))
         fwd = f if fwd is None else fwd.unionByName(f)
-    ic = panel.ic_series(signal, fwd, method, min_assets, ("horizon",)).filter("value is not null")
+    ic = panel.ic_series(signal, fwd, method, min_assets, ("horizon",), check=False).filter("value is not null")
     from waneline.functions import stats
 
     a = breaks.arrays(ic.select(F.col("horizon").cast("string").alias("series_id"), "date", "value")).withColumn("horizon", F.col("series_id").cast("int"))
